@@ -39,9 +39,9 @@ def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, words before each text): byte borders of all words, in text order."""
-    inside = ~WHITE[raw]
+    inside = ~white[raw]
     before, after = np.zeros_like(inside), np.zeros_like(inside)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     full = offsets[:-1][np.diff(offsets) > 0]
