@@ -161,16 +161,17 @@ def _across(live: DataFrame, centres: DataFrame, label: DataFrame, full: DataFra
     members = homes.join(full.select("id", F.size("shingles").alias("n")).groupBy("id").agg(F.max("n").alias("n")), "id")
     needs = members.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     placed = cut(members.join(needs, "home").select("id", "component", F.struct("home", F.pmod(F.xxhash64("id"), "blocks").alias("part")).alias("block")))
-    met = open_.select("key", "id").join(placed, "id").groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    inside = open_.select("key", "id").join(placed, "id")
+    met = inside.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     a, b = (met.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("block", "low", "high"))) for s in "ab")
     one = (F.col("a_low") == F.col("a_high")) & (F.col("b_low") == F.col("b_high")) & (F.col("a_low") == F.col("b_low"))
-    meetings = a.join(b, "key").where((F.col("a_block") <= F.col("b_block")) & ~one).select("a_block", "b_block").distinct()
+    meetings = a.join(b, "key").where((F.col("a_block") <= F.col("b_block")) & ~one).select("key", "a_block", "b_block")
     sides = F.when(F.col("a_block") == F.col("b_block"), F.array(F.struct(F.lit(0).alias("side"), F.col("a_block").alias("block")))).otherwise(
         F.array(F.struct(F.lit(0).alias("side"), F.col("a_block").alias("block")), F.struct(F.lit(1).alias("side"), F.col("b_block").alias("block")))
     )
-    seats = meetings.select("a_block", "b_block", F.inline(sides))
-    loaded = placed.join(full, "id").select("block", "id", "component", "coords", "shingles")
-    return seats.join(loaded, "block").groupBy("a_block", "b_block").applyInArrow(_compare(percent), "u long, v long").distinct()
+    # of a block, only the sets in lists that both blocks meet in are seated
+    seats = meetings.select("key", "a_block", "b_block", F.inline(sides)).join(inside, ["key", "block"]).select("a_block", "b_block", "side", "id", "component").distinct()
+    return seats.join(full, "id").groupBy("a_block", "b_block").applyInArrow(_compare(percent), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -187,7 +188,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = cut(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, print binary, coords array<long>"))
     known = sketched.where("doc_id is not null and print is not null")
     sets = known.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("coords").alias("coords"))
-    copies = known.join(sets.select("print", "id"), "print").where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).distinct()
+    copied = sketched.select("doc_id", "n_shingles", "print").join(sets.select("print", "id"), "print", "left")
+    # an id with several texts is linked to the representatives of all its sets
+    owned = copied.where("doc_id is not null and id is not null").select("doc_id", "id")
+    several = owned.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("doc_id")
+    same = owned.join(several, "doc_id").where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v")).distinct()
 
     posted = sets.select("id", F.explode(F.slice("coords", 1, COORDINATES - MATCHES + 1)).alias("key"))
     company = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -204,6 +209,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     more = _across(live, centres, label, full, percent)
 
-    label = connected_components(links.unionByName(more).unionByName(copies)).withColumnRenamed("node", "doc_id")
-    component = F.coalesce("component", "doc_id")
-    return sketched.join(label, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    label = connected_components(links.unionByName(more).unionByName(same)).withColumnRenamed("node", "id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
+    return copied.join(label, "id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
