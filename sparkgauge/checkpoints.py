@@ -23,7 +23,22 @@ def ensure_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkgauge-checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return the written table."""
+def few(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:
+    """``df`` in about one task for ``each`` rows, but no more tasks than it has.
+
+    For tables whose size is known: what comes next writes few shuffle files where rows are few.
+    """
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def cut(df: DataFrame, each: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and return the written table.
+
+    With ``each``, the table is read by about one task for so many rows (and by as many
+    as the cluster runs at once, if it has so many partitions).
+    """
     ensure_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if each is None:
+        return out
+    return out.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-out.count() // each)))

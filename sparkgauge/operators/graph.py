@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgauge.checkpoints import cut
+from sparkgauge.checkpoints import cut, few
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -22,23 +22,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     neighbourhoods are never gathered in one row.
     """
     clean = edges.select("u", "v").where(F.col("u").isNotNull() & F.col("v").isNotNull())
-    nodes = clean.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    alone = clean.where("u = v").select(F.col("u").alias("node")).distinct()
     links = cut(clean.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    rows = links.count()
+    nodes, before = few(links, rows).select(F.explode(F.array("u", "v")).alias("node")).unionByName(alone).distinct(), None
     for _ in range(max_rounds):
+        links = few(links, rows)
         # large step: every neighbour above a node is linked to the node's minimum
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = few(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), rows).distinct()
         # small step: a node and its neighbours below it are linked to their minimum
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        links = cut(small)
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        low = few(large, rows).groupBy("u").agg(F.min("v").alias("m"))
+        small = few(large, rows).join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v")
+        links = cut(few(small, rows).distinct())
+        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        rows = now[0]
+        if now == before:
             break
-        before = tuple(now)
+        before = now
     else:
         raise RuntimeError("components did not settle")
-    found = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found = few(links, rows).select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
