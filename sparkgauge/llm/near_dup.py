@@ -33,7 +33,7 @@ from sparkgauge.operators.graph import connected_components
 SHINGLE = 5
 COORDINATES, ROWS, MATCHES = 24, 3, 4
 #: Sets and shingles in a block, about; a larger set is a block by itself.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 _A = K.mix(np.arange(1, COORDINATES * ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _X = K.mix(_A * np.uint64(0xE7037ED1A0B428DB))
 
@@ -114,9 +114,9 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray], rows: np.ndarray, cols:
     order = np.argsort(term, kind="stable")
     term, owner = term[order], owner[order]
     total = np.zeros((len(a), len(b)), np.float32)
-    for low in range(0, int(term[-1]) + 1 if len(term) else 0, 4096):
-        i, j = np.searchsorted(term, [low, low + 4096])
-        grid = np.zeros((len(a) + len(b), 4096), np.float32)
+    for low in range(0, int(term[-1]) + 1 if len(term) else 0, 1024):
+        i, j = np.searchsorted(term, [low, low + 1024])
+        grid = np.zeros((len(a) + len(b), 1024), np.float32)
         grid[owner[i:j], term[i:j] - low] = 1
         total += grid[: len(a)] @ grid[len(a) :].T
     return total[rows, cols].astype(np.int64)
@@ -156,7 +156,7 @@ def _across(live: DataFrame, centres: DataFrame, label: DataFrame, full: DataFra
     """
     named = live.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ = cut(named.join(mixed, "key").join(centres.select("key", "top"), "key"))
+    open_ = cut(named.join(mixed, "key").join(centres.select("key", "top"), "key"), 250_000)
     homes = open_.groupBy("id").agg(F.first("component").alias("component"), F.max("top").getField("col2").alias("home"))
     members = homes.join(full.select("id", F.size("shingles").alias("n")).groupBy("id").agg(F.max("n").alias("n")), "id")
     needs = members.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = cut(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, print binary, coords array<long>"))
+    sketched = cut(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, print binary, coords array<long>"), 20_000)
     known = sketched.where("doc_id is not null and print is not null")
     sets = known.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("coords").alias("coords"))
     copied = sketched.select("doc_id", "n_shingles", "print").join(sets.select("print", "id"), "print", "left")
@@ -196,16 +196,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     posted = sets.select("id", F.explode(F.slice("coords", 1, COORDINATES - MATCHES + 1)).alias("key"))
     company = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    live = cut(posted.join(company, "key").select("key", "id", "n"))
+    live = cut(posted.join(company, "key").select("key", "id", "n"), 250_000)
     weight = live.groupBy("id").agg(F.sum("n").alias("weight"))
     members = live.join(weight, "id").select("key", "id", "weight")
     centres = members.groupBy("key").agg(F.max(F.struct("weight", -F.col("id"))).alias("top")).select("key", "top", (-F.col("top.col2")).alias("v"))
     spokes = live.join(centres.drop("top"), "key").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
 
     involved = weight.select(F.col("id").alias("doc_id"))
-    full = cut(texts.join(involved, "doc_id", "left_semi").mapInArrow(_full_sets, "id long, coords array<long>, shingles array<long>").where(F.size("shingles") > 0))
-    links = cut(_confirmed(spokes, full, percent))
-    label = cut(connected_components(links))
+    full = cut(texts.join(involved, "doc_id", "left_semi").mapInArrow(_full_sets, "id long, coords array<long>, shingles array<long>").where(F.size("shingles") > 0), 5_000)
+    links = cut(_confirmed(spokes, full, percent), 250_000)
+    label = cut(connected_components(links), 250_000)
 
     more = _across(live, centres, label, full, percent)
 
