@@ -99,7 +99,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """(W, T) of the line model. Labels other than 0 and 1, and ids that occur with both, are left out."""
+    """(W, T) of the line model; zeros (all scores 0.5) unless the sample has both labels. Labels other than 0 and 1, and ids that occur with both, are left out."""
     clear = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     clear = clear.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("high")).where("label = high").select("id", "label")
     chosen = clear.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = texts.join(F.broadcast(chosen), "id").select("label", "text", "id").mapInArrow(_sampled, "label int, lines binary").collect()
     rows = sorted((r.label, bytes(r.lines)) for r in rows)
     if len({r[0] for r in rows}) < 2:
-        raise ValueError("the labelled sample needs documents of both labels")
+        return np.zeros((WIDTH, 2)), np.zeros((2, 2))
     lines = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for _, b in rows]
     lengths = np.array([len(x) for x in lines])
     grid = np.zeros((len(lines), lengths.max(), WIDTH), np.float32)
