@@ -132,7 +132,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = docs.select(*names, F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__row"))
     hashed = cut(keyed.select("__id", "__row", text_col).mapInArrow(_hashed, "id long, row long, place int, h1 long, h2 long"))
     place = F.struct("id", "row", "place")
-    groups = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last or first.id is null").select("h1", "h2", "first")
+    # grouped by a struct, so that the join below has exchanges of its own, whose large partitions can be split
+    groups = hashed.groupBy(F.struct("h1", "h2").alias("h")).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last or first.id is null").select("h.h1", "h.h2", "first")
     found = hashed.join(groups, ["h1", "h2"]).select("id", "row", F.struct("place", "h1", "h2", F.col("first").eqNullSafe(place).alias("first")).alias("one"))
     found = found.groupBy("id", "row").agg(F.array_distinct(F.collect_list("one")).alias("__found"))
     same = lambda a, b: a["__id"].eqNullSafe(b["id"]) & (a["__row"] == b["row"])
