@@ -187,7 +187,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = cut(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, print binary, coords array<long>"), 20_000)
     known = sketched.where("doc_id is not null and print is not null")
-    sets = known.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("coords").alias("coords"))
+    # grouped by a struct, so that the join below has exchanges of its own, whose large partitions can be split
+    sets = known.groupBy(F.struct("print").alias("p")).agg(F.min("doc_id").alias("id"), F.first("coords").alias("coords")).select("p.print", "id", "coords")
     copied = sketched.select("doc_id", "n_shingles", "print").join(sets.select("print", "id"), "print", "left")
     # an id with several texts is linked to the representatives of all its sets
     owned = copied.where("doc_id is not null and id is not null").select("doc_id", "id")
