@@ -135,15 +135,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # grouped by a struct, so that the join below has exchanges of its own, whose large partitions can be split
     groups = hashed.groupBy(F.struct("h1", "h2").alias("h")).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last or first.id is null").select("h.h1", "h.h2", "first")
     found = hashed.join(groups, ["h1", "h2"]).select("id", "row", F.struct("place", "h1", "h2", F.col("first").eqNullSafe(place).alias("first")).alias("one"))
-    found = found.groupBy("id", "row").agg(F.array_distinct(F.collect_list("one")).alias("__found"))
-    same = lambda a, b: a["__id"].eqNullSafe(b["id"]) & (a["__row"] == b["row"])
-    marked = keyed.join(found, same(keyed, found), "left").drop("id", "row")
+    found = found.groupBy(F.col("id").alias("__i"), F.col("row").alias("__r")).agg(F.array_distinct(F.collect_list("one")).alias("__found"))
+    same = lambda a, b: a["__id"].eqNullSafe(b["__i"]) & (a["__row"] == b["__r"])
+    marked = keyed.join(found, same(keyed, found), "left").drop("__i", "__r")
 
     exact = marked.mapInArrow(_repeated(text_col), "id long, row long, place int, h1 long, h2 long, chunk string").groupBy("h1", "h2", "chunk").agg(F.min(place).alias("first"))
     # of chunks that share a hash and differ in bytes, each has a first place of its own
     clash = exact.groupBy("h1", "h2").agg(F.min("first").alias("low"), F.collect_list("first").alias("firsts")).where("size(firsts) > 1")
-    spared = clash.select(F.explode("firsts").alias("f")).select("f.*").groupBy("id", "row").agg(F.collect_list("place").alias("__spared"))
-    ready = marked.join(spared, same(marked, spared), "left").drop("id", "row")
+    spared = clash.select(F.explode("firsts").alias("f")).select("f.*").groupBy(F.col("id").alias("__i"), F.col("row").alias("__r")).agg(F.collect_list("place").alias("__spared"))
+    ready = marked.join(spared, same(marked, spared), "left").drop("__i", "__r")
 
     fields = [docs.schema[n] for n in names]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields] + [T.StructField("removed_lines", T.LongType()), T.StructField("removed_chunks", T.LongType())])
