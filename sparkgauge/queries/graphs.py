@@ -10,7 +10,7 @@ from sparkgauge.operators import selection as G
 from sparkgauge.operators.graph import connected_components
 from sparkgauge.registry import query, table
 
-R4 = lambda c: F.round(c, 4)
+R4 = lambda c: F.round(c, 4) + F.lit(0.0)
 WIDTH = 64
 _F = "SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM embeddings"
 _S = f"SELECT *, list_cosine_similarity(e, lag(e) OVER (PARTITION BY label ORDER BY vec_id)) AS sim, lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM ({_F})"
@@ -31,17 +31,17 @@ def edges(s, d):
     return similar(s, d).where(F.col("sim") >= TAU).select(F.col("prev").alias("u"), F.col("vec_id").alias("v"), F.col("sim").alias("w"))
 
 
-@query("G1_W1_lag_similarity", f"SELECT vec_id, round(sim, 4) AS sim FROM ({_S})")
+@query("G1_W1_lag_similarity", f"SELECT vec_id, round(sim, 4) + 0.0 AS sim FROM ({_S})")
 def _(s, d):
     return similar(s, d).select("vec_id", R4("sim").alias("sim"))
 
 
-@query("W2_lag_k", f"SELECT vec_id, round(list_cosine_similarity(e, lag(e, 3) OVER (PARTITION BY label ORDER BY vec_id)), 4) AS sim FROM ({_F})")
+@query("W2_lag_k", f"SELECT vec_id, round(list_cosine_similarity(e, lag(e, 3) OVER (PARTITION BY label ORDER BY vec_id)), 4) + 0.0 AS sim FROM ({_F})")
 def _(s, d):
     return G.lagged(frames(s, d), ["label"], "vec_id", "embedding", 3).select("vec_id", R4("sim").alias("sim"))
 
 
-@query("G2_neighbours", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], r.embedding::DOUBLE[]), 4) AS right_, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS below FROM embeddings a LEFT JOIN embeddings r ON a.vec_id % 10 < 9 AND r.vec_id = a.vec_id + 1 LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 10")
+@query("G2_neighbours", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], r.embedding::DOUBLE[]), 4) + 0.0 AS right_, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) + 0.0 AS below FROM embeddings a LEFT JOIN embeddings r ON a.vec_id % 10 < 9 AND r.vec_id = a.vec_id + 1 LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 10")
 def _(s, d):
     e = table(s, d, "embeddings").select("vec_id", "embedding")
     right = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("r")).where("vec_id % 10 < 9 and vec_id >= 0")
@@ -84,14 +84,14 @@ def _(s, d):
 
 
 @query("G18_cohesion", """WITH n AS (SELECT label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings), p AS (SELECT label, generate_subscripts(u, 1) AS k, unnest(u) AS x FROM n),
-s AS (SELECT label, k, sum(x) AS x, count(*) AS n FROM p GROUP BY ALL) SELECT label, max(n) AS size, round((sum(x * x) - max(n)) / (max(n) * (max(n) - 1)), 4) AS cohesion FROM s GROUP BY label""")
+s AS (SELECT label, k, sum(x) AS x, count(*) AS n FROM p GROUP BY ALL) SELECT label, max(n) AS size, round((sum(x * x) - max(n)) / (max(n) * (max(n) - 1)), 4) + 0.0 AS cohesion FROM s GROUP BY label""")
 def _(s, d):
     groups, _ = G.cohesion(table(s, d, "embeddings"), "label", "embedding", WIDTH)
     return groups.select("label", "size", R4("cohesion").alias("cohesion"))
 
 
 @query("G19_centrality", """WITH n AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings)
-SELECT a.vec_id, round(avg(list_dot_product(a.u, b.u)), 4) AS centrality FROM n a JOIN n b ON a.label = b.label GROUP BY a.vec_id""")
+SELECT a.vec_id, round(avg(list_dot_product(a.u, b.u)), 4) + 0.0 AS centrality FROM n a JOIN n b ON a.label = b.label GROUP BY a.vec_id""")
 def _(s, d):
     _, central = G.cohesion(table(s, d, "embeddings"), "label", "embedding", WIDTH)
     return central.select("vec_id", R4("centrality").alias("centrality"))
