@@ -214,7 +214,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        part = texts.mapInArrow(run, schema)
+        part = K.arrow(texts, run, schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -228,5 +228,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
             for batch in batches:
                 yield batch.filter(pa.array([not found for found in hits(batch.column(text_col), sent.value)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = K.arrow(docs, run, docs.schema)
     return docs

@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkgauge.llm import kernels as K
+
 HINT = re.compile(r"licen[sc]|copyright|spdx|permission is hereby|all rights reserved|public domain|redistribut|creative commons", re.IGNORECASE)
 _WORD = re.compile(r"\w+(?:\.\d+)*")
 #: How much of the block's compressed size a template must save to be looked at, and the share of a phrase's words that may be missing.
@@ -185,4 +187,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 best.append(max((s for _, s in won), default=None))
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(names, kind.field(2).type), pa.array(best, pa.float64())], schema=kind)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_blocks long, licenses array<string>, best_saved double")
+    return K.arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_blocks long, licenses array<string>, best_saved double")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkgauge.checkpoints import cut
+from sparkgauge.llm import kernels as K
 
 WINDOW, MODULUS, MOST_LINES, LONG_WORDS = 2, 3, 64, 50
 _M64 = (1 << 64) - 1
@@ -130,7 +131,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = [c for c in docs.columns if not c.startswith("__") and c not in ("removed_lines", "removed_chunks")]
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     keyed = docs.select(*names, F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__row"))
-    hashed = cut(keyed.select("__id", "__row", text_col).mapInArrow(_hashed, "id long, row long, place int, h1 long, h2 long"))
+    hashed = cut(K.arrow(keyed.select("__id", "__row", text_col), _hashed, "id long, row long, place int, h1 long, h2 long"))
     place = F.struct("id", "row", "place")
     # grouped by a struct, so that the join below has exchanges of its own, whose large partitions can be split
     groups = hashed.groupBy(F.struct("h1", "h2").alias("h")).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last or first.id is null").select("h.h1", "h.h2", "first")
@@ -139,7 +140,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = lambda a, b: a["__id"].eqNullSafe(b["__i"]) & (a["__row"] == b["__r"])
     marked = keyed.join(found, same(keyed, found), "left").drop("__i", "__r")
 
-    exact = marked.mapInArrow(_repeated(text_col), "id long, row long, place int, h1 long, h2 long, chunk string").groupBy("h1", "h2", "chunk").agg(F.min(place).alias("first"))
+    exact = K.arrow(marked, _repeated(text_col), "id long, row long, place int, h1 long, h2 long, chunk string").groupBy("h1", "h2", "chunk").agg(F.min(place).alias("first"))
     # of chunks that share a hash and differ in bytes, each has a first place of its own
     clash = exact.groupBy("h1", "h2").agg(F.min("first").alias("low"), F.collect_list("first").alias("firsts")).where("size(firsts) > 1")
     spared = clash.select(F.explode("firsts").alias("f")).select("f.*").groupBy(F.col("id").alias("__i"), F.col("row").alias("__r")).agg(F.collect_list("place").alias("__spared"))
@@ -148,4 +149,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     fields = [docs.schema[n] for n in names]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields] + [T.StructField("removed_lines", T.LongType()), T.StructField("removed_chunks", T.LongType())])
     arrow = to_arrow_schema(schema)
-    return ready.mapInArrow(_removal([f.name for f in schema], text_col, arrow), schema)
+    return K.arrow(ready, _removal([f.name for f in schema], text_col, arrow), schema)

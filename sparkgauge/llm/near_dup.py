@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = cut(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, print binary, coords array<long>"), 20_000)
+    sketched = cut(K.arrow(texts, _sketch, "doc_id long, n_shingles long, print binary, coords array<long>"), 20_000)
     known = sketched.where("doc_id is not null and print is not null")
     # grouped by a struct, so that the join below has exchanges of its own, whose large partitions can be split
     sets = known.groupBy(F.struct("print").alias("p")).agg(F.min("doc_id").alias("id"), F.first("coords").alias("coords")).select("p.print", "id", "coords")
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spokes = live.join(centres.drop("top"), "key").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
 
     involved = weight.select(F.col("id").alias("doc_id"))
-    full = cut(texts.join(involved, "doc_id", "left_semi").mapInArrow(_full_sets, "id long, coords array<long>, shingles array<long>").where(F.size("shingles") > 0), 5_000)
+    full = cut(K.arrow(texts.join(involved, "doc_id", "left_semi"), _full_sets, "id long, coords array<long>, shingles array<long>").where(F.size("shingles") > 0), 5_000)
     links = cut(_confirmed(spokes, full, percent), 250_000)
     label = cut(connected_components(links), 250_000)
 

@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkgauge.llm import kernels as K
+
 LENGTH, SEPARATOR = 2048, 1
 SENTENCE, HARD, EACH, BLOCK = 16, 512, 8, 1 << 20
 WHOLE = (256, 512, 1024)
@@ -187,4 +189,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     of another ``tokenizers`` file. An empty table gives an empty result.
     """
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pack(vocabulary, with_ids), kind)
+    return K.arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), _pack(vocabulary, with_ids), kind)

@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     clear = clear.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("high")).where("label = high").select("id", "label")
     chosen = clear.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("label", "text", "id").mapInArrow(_sampled, "label int, lines binary").collect()
+    rows = K.arrow(texts.join(F.broadcast(chosen), "id").select("label", "text"), _sampled, "label int, lines binary").collect()
     rows = sorted((r.label, bytes(r.lines)) for r in rows)
     if len({r[0] for r in rows}) < 2:
         return np.zeros((WIDTH, 2)), np.zeros((2, 2))
@@ -159,4 +159,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str =
 
     kept = docs.drop("score", "predicted")
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{kind}, score double, predicted int")
+    return K.arrow(kept, run, f"{kind}, score double, predicted int")
