@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, THRESHOLD, TRUSTED = 10_000, -0.035, 1 << 18
+BUCKETS, THRESHOLD, BROADCAST = 10_000, -0.035, 1 << 18
 WHITE = "[\\x20\\x09-\\x0D]+"
 MIN_WORDS, MOST_REPEATED = 20, 30
 
@@ -90,13 +90,13 @@ def base_columns(text: Column, words: Column) -> dict[str, Column]:
 def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[float]:
     """log target - log raw of every bucket, with one added to each count.
 
-    Raw counts cover all texts. Trusted texts are those labelled 1; beyond ``TRUSTED`` of
-    them, the ones with the smallest hashes of their ids, so the broadcast side is bounded.
+    Raw counts cover all texts, target counts all texts labelled 1. Up to ``BROADCAST``
+    trusted ids are broadcast; beyond that they meet the texts in an ordinary join.
     """
-    trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    trusted = trusted.orderBy(F.xxhash64("id"), "id").limit(TRUSTED).select("id", F.lit(1).alias("trusted"))
+    trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct().withColumn("trusted", F.lit(1))
+    few = trusted.limit(BROADCAST + 1).count() <= BROADCAST
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    grams = texts.join(F.broadcast(trusted), "id", "left").select("trusted", F.explode(hashed_grams(words_of(F.col("text")))).alias("bucket"))
+    grams = texts.join(F.broadcast(trusted) if few else trusted, "id", "left").select("trusted", F.explode(hashed_grams(words_of(F.col("text")))).alias("bucket"))
     counted = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target")).collect()
     raw, target = [1] * BUCKETS, [1] * BUCKETS
     for r in counted:
