@@ -23,8 +23,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    dropped = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """One document of each group of near copies, of a similarity of 0.8 or more."""
+    dropped = near_dup.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 
