@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from sparkgauge.queries import aggregates, generated, graphs, relations, scalars
+from sparkgauge.queries import aggregates, extra, generated, graphs, relations, scalars
 from sparkgauge.queries.aggregates import flagship
 from sparkgauge.registry import QUERIES, SQL
 
@@ -13,4 +13,4 @@ def oracle_sql():
     return dict(SQL)
 
 
-__all__ = ["aggregates", "flagship", "generated", "graphs", "oracle_sql", "queries", "relations", "scalars"]
+__all__ = ["aggregates", "extra", "flagship", "generated", "graphs", "oracle_sql", "queries", "relations", "scalars"]
