@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated chunks of lines; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs).drop("removed_lines", "removed_chunks")
+    """Documents without repeated runs of lines; ``n_chars`` follows the text."""
+    out = line_dedup.dedup_lines(docs, runs=True).drop("removed_lines", "removed_chunks")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 

@@ -22,7 +22,7 @@ def held_out(id_col: str = "doc_id"):
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs)
+    return line_dedup.dedup_lines(docs, runs=True)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

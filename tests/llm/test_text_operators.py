@@ -73,6 +73,22 @@ def test_chunks_cover_and_shift():
     assert len(cut(lines) - cut(["new", *lines])) <= 2
 
 
+def test_line_dedup_takes_whole_runs(spark):
+    r = random.Random(4)
+    rows, want = [], {}
+    for k in range(30):
+        run = [prose(r, 5) for _ in range(2 + k % 7)]
+        run.insert(1, "")
+        rows.append((2 * k, "\n".join([prose(r, 6), *run, prose(r, 6)])))
+        own = [prose(r, 6) for _ in range(4)]
+        rows.append((2 * k + 1, "\n".join(own[:2] + run + own[2:])))
+        want |= {2 * k: rows[-2][1], 2 * k + 1: "\n".join(own)}
+    rows += [(100, "a b\n" * 4 + "a b"), (101, "c d\na b\nc d"), (102, "c d\na b\ne f")]
+    want |= {100: "a b\na b", 101: "c d\na b\nc d", 102: "e f"}
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), runs=True).collect()}
+    assert got == want
+
+
 def test_line_dedup_odd(spark):
     df = odd(spark)
     out = line_dedup.dedup_lines(df)
