@@ -4,7 +4,9 @@ The index holds the test items; every passage of every training text is a query
 it. An item's impacts are divided by the BM25 score of the item against itself, so scores
 run from 0 to 1 and one threshold serves items of all lengths. Passages are windows of
 two neighbouring halves of ``HALF`` words, so an item of up to ``HALF`` words lies whole
-in one of them.
+in one of them. A longer item does not, and its score in any window shrinks with its
+length; it is indexed a second time as overlapping pieces of ``HALF`` words, each divided
+by its own score against itself. A hit of a piece is a hit of the item.
 
 All items above the threshold are found, in three steps that only skip what cannot reach
 it: the sum of the terms' largest impacts must reach the threshold; then, for each block
@@ -14,7 +16,7 @@ one cursor at a time. A hit is confirmed on the words themselves: of the word pa
 the item's question part and of its answer part, a share of OVERLAP each must stand in the
 text around the window, or of TOGETHER over both parts.
 
-Test items are split into indexes of at most ``ITEMS`` items; texts pass each index once,
+Test items are split into indexes of about ``ITEMS`` items and pieces; texts pass each index once,
 so what is broadcast has a fixed bound.
 """
 
@@ -75,6 +77,7 @@ class Index:
     vocabulary: np.ndarray  # sorted word hashes
     impacts: np.ndarray  # (terms, items), items filled up to whole blocks
     blocks: np.ndarray  # (terms, blocks)
+    owner: np.ndarray  # the item of each column of impacts: items first, then their pieces
     most: np.ndarray  # (terms,)
 
 
@@ -82,6 +85,11 @@ def _pairs(words: list[bytes]) -> set:
     return set(zip(words, words[1:], strict=False)) if len(words) > 1 else {(w,) for w in words}
 
 
+def _pieces(n: int) -> list[int]:
+    """Where the pieces of an item of ``n`` words begin; the last one ends with the item."""
+    return [*range(0, n - HALF, HALF // 2), n - HALF] if n > HALF else []
+
+
 def build(items: list[tuple[int, str]]) -> Index | None:
     """The index of (item_id, text) items; items without words are left out."""
     known = sorted(((i, text, tokens(text or "")) for i, text in items), key=lambda x: (len(x[2]), x[0]))
@@ -98,8 +106,9 @@ def build(items: list[tuple[int, str]]) -> Index | None:
     at = {names[k]: r for r, k in enumerate(order)}
     n = len(known)
     mean = sum(len(w) for *_, w in known) / n
-    impacts = np.zeros((len(names), -(-n // BLOCK) * BLOCK), np.float32)
-    for j, c in enumerate(counts):
+    parts = [(j, Counter(w[a : a + HALF])) for j, (*_, w) in enumerate(known) for a in _pieces(len(w))]
+    impacts = np.zeros((len(names), -(-(n + len(parts)) // BLOCK) * BLOCK), np.float32)
+    for j, c in enumerate([*counts, *(c for _, c in parts)]):
         norm = K1 * (1 - B + B * c.total() / mean)
         own = {w: np.log1p((n - spread[w] + 0.5) / (spread[w] + 0.5)) * f * (K1 + 1) / (f + norm) for w, f in c.items()}
         whole = sum(own.values())
@@ -107,7 +116,7 @@ def build(items: list[tuple[int, str]]) -> Index | None:
             impacts[at[w], j] = x / whole
     blocks = impacts.reshape(len(names), -1, BLOCK).max(2)
     split = [question_and_answer(text) for _, text, _ in known]
-    return Index([i for i, *_ in known], [_pairs(q) for q, _ in split], [_pairs(a) for _, a in split], np.array([len(w) for *_, w in known]), hashes[order], impacts, blocks, blocks.max(1))
+    return Index([i for i, *_ in known], [_pairs(q) for q, _ in split], [_pairs(a) for _, a in split], np.array([len(w) for *_, w in known]), hashes[order], impacts, blocks, np.array([*range(n), *(j for j, _ in parts)]), blocks.max(1))
 
 
 def _windows(raw: np.ndarray, offsets: np.ndarray, index: Index):
@@ -135,7 +144,7 @@ def _windows(raw: np.ndarray, offsets: np.ndarray, index: Index):
 
 
 def search(raw: np.ndarray, offsets: np.ndarray, index: Index, least: float = SCORE) -> Iterator[tuple[int, int, float, float, float]]:
-    """(text, item, score, question overlap, answer overlap) of each confirmed or unconfirmed hit."""
+    """(text, item, score, question overlap, answer overlap) of each confirmed or unconfirmed hit of an item or a piece."""
     raw = lowered(raw)
     start, end, first, base, window, term = _windows(raw, offsets, index)
     if not len(window):
@@ -151,7 +160,7 @@ def search(raw: np.ndarray, offsets: np.ndarray, index: Index, least: float = SC
     borders = np.flatnonzero(np.diff(window, prepend=-1))
     sizes = np.diff(np.append(borders, len(window)))
     step = max(1, (4 << 20) // index.blocks.shape[1])
-    low = 0
+    low, seen = 0, {}
     while low < len(borders):
         high = min(max(low + 1, int(np.searchsorted(borders, borders[low] + step))), len(borders))
         a, b = borders[low], borders[high] if high < len(borders) else len(window)
@@ -161,15 +170,19 @@ def search(raw: np.ndarray, offsets: np.ndarray, index: Index, least: float = SC
             items = slice(block * BLOCK, (block + 1) * BLOCK)
             score = index.impacts[term[at : at + sizes[low + k]], items].sum(0)
             for j in np.flatnonzero(score >= least):
-                item = int(block * BLOCK + j)
+                item = int(index.owner[block * BLOCK + j])
                 text = int(np.searchsorted(base, window[at], "right")) - 1
                 more = max(0, int(index.lengths[item]) - HALF) + 2
+                if (window[at], item) in seen:
+                    yield text, item, float(score[j]), *seen[window[at], item]
+                    continue
                 begin = first[text] + (window[at] - base[text]) * HALF
                 x, y = max(first[text], begin - more), min(first[text + 1], begin + 2 * HALF + more)
                 words = [raw[s:e].tobytes() for s, e in zip(start[x:y], end[x:y], strict=True)]
                 found = _pairs(words) | {(w,) for w in words}
                 share = lambda want: len(want & found) / len(want) if want else 1.0
-                yield text, item, float(score[j]), share(index.questions[item]), share(index.answers[item])
+                seen[window[at], item] = share(index.questions[item]), share(index.answers[item])
+                yield text, item, float(score[j]), *seen[window[at], item]
         low = high
 
 
@@ -187,9 +200,11 @@ def hits(texts: pa.Array, index: Index) -> Iterator[dict[int, tuple[float, float
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """Indexes over all items, of about ITEMS items at most each. Null texts are left out."""
+    """Indexes over all items, of about ITEMS items and pieces at most each; an item's pieces stand together. Null texts are left out."""
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    parts = -(-items.count() // ITEMS)
+    n = F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    columns = items.agg(F.sum(F.when(n > HALF, F.ceil((n - HALF) / (HALF // 2)) + 2).otherwise(1))).first()[0] or 0
+    parts = -(-columns // ITEMS)
     for k in range(parts):
         if built := build([tuple(r) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).collect()]):
             yield built

@@ -394,6 +394,15 @@ def test_block_pruning_loses_nothing():
     assert want <= got
 
 
+def test_decontamination_finds_long_items(spark):
+    r = random.Random(12)
+    items = [(i, ". ".join(prose(r, 20).capitalize() for _ in range(n // 20)) + ".") for i, n in enumerate([60, 100, 200, 300, 400, 800, 2000] * 3)]
+    rows = [(i, " ".join([prose(r, r.randint(0, 150)), items[i][1], prose(r, r.randint(0, 150))]) if i < 21 else prose(r, 900)) for i in range(40)]
+    rows.append((40, " ".join([items[5][1][:600], prose(r, 900)])))  # a short part of an item is not the item
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.matches(docs, bench).collect()} == {(i, i) for i in range(21)}
+
+
 def test_decontamination_odd(spark):
     bench = spark.createDataFrame([(1, "some words here"), (2, None)], "item_id long, text string")
     assert [(x.doc_id, x.item_id) for x in decontaminate.matches(odd(spark), bench).collect()] == [(None, 1)]
