@@ -59,10 +59,16 @@ def qa_words(c: Column) -> Column:
 
 def qa_f1(prediction: Column, reference: Column) -> Column:
     """F1 of the word multisets; with an empty side, whether both are."""
-    p, r = qa_words(prediction), qa_words(reference)
-    count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-    both = F.aggregate(F.transform(F.array_distinct(p), lambda w: F.least(count(p, w), count(r, w))), F.lit(0), lambda a, b: a + b)
-    return F.when((F.size(p) == 0) | (F.size(r) == 0), (F.size(p) == F.size(r)).cast("double")).otherwise(2.0 * both / (F.size(p) + F.size(r)))
+    # words with their number among equal ones; a variable of a lambda keeps the arrays from being made anew for each word
+    numbered = lambda a: F.transform(a, lambda w, k: F.concat_ws(" ", w, k - F.array_position(a, w)))
+
+    def one(x: Column) -> Column:
+        p, r = x["p"], x["r"]
+        both = F.size(F.array_intersect(numbered(p), numbered(r)))
+        return F.when((F.size(p) == 0) | (F.size(r) == 0), (F.size(p) == F.size(r)).cast("double")).otherwise(2.0 * both / (F.size(p) + F.size(r)))
+
+    sides = F.struct(F.sort_array(qa_words(prediction)).alias("p"), F.sort_array(qa_words(reference)).alias("r"))
+    return F.transform(F.array(sides), one)[0]
 
 
 def iou(a: Column, b: Column) -> Column:

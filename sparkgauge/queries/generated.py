@@ -119,6 +119,14 @@ def _(s, d):
     return evaluate(s, tasks, "echo").task_results.select("task", R6("value").alias("value"), "n")
 
 
+@query("E1_evaluate_languages")
+def _(s, d):
+    """One task for each language present."""
+    docs = table(s, d, "documents")
+    langs = [r.lang for r in docs.where("lang is not null").select("lang").distinct().orderBy("lang").collect()]
+    return evaluate(s, [Task(x, docs.where(F.col("lang") == x), "text", "source") for x in langs], "echo").task_results.select("task", R6("value").alias("value"), "n")
+
+
 @query("STREAM_windowed_mean", "SELECT date_trunc('day', ts) AS window_start, event_type, round(avg(value), 6) AS value, count(value) AS n FROM events GROUP BY ALL")
 def _(s, d):
     return windowed_mean(table(s, d, "events"), "ts", ["event_type"], "value").withColumn("value", R6("value"))

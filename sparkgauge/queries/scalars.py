@@ -23,6 +23,11 @@ def _(s, d):
     return docs.join(F.broadcast(b), docs.doc_id % 40 == b.item_id).select("doc_id", F.levenshtein("head", "ref").cast("long").alias("distance"))
 
 
+@query("X1_levenshtein_names", "SELECT p_partkey, levenshtein(p_name, p_type)::BIGINT AS distance FROM part")
+def _(s, d):
+    return table(s, d, "part").select("p_partkey", F.levenshtein("p_name", "p_type").cast("long").alias("distance"))
+
+
 _ANLS = f"""
 WITH x AS (SELECT doc_id, substr({_ASCII}, 1, 30) AS p, [substr({_ASCII}, 1, 24) || 'xyz', source] AS refs FROM documents WHERE length(text) > 0),
 n AS (SELECT doc_id, p, unnest(refs) AS r FROM x),
@@ -37,6 +42,12 @@ def _(s, d):
     return docs.select("doc_id", F.round(X.anls(F.col("p"), F.col("refs")), 6).alias("anls"))
 
 
+@query("X2_anls_names")
+def _(s, d):
+    """Whole names against their brand and name, and against their type."""
+    return table(s, d, "part").select("p_partkey", F.round(X.anls(F.col("p_name"), F.array(F.concat_ws(" ", "p_brand", "p_name"), "p_type")), 6).alias("anls"))
+
+
 @query("X3_relaxed_match", """
 WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size || '%' ELSE p_size::VARCHAR END AS t, CASE WHEN p_partkey % 5 = 0 THEN 'about ' || p_size ELSE (p_size + p_partkey % 4)::VARCHAR || CASE WHEN p_partkey % 3 = 0 THEN '%' ELSE '' END END AS p FROM part),
 n AS (SELECT *, CASE WHEN t LIKE '%\\%' ESCAPE '\\' THEN try_cast(replace(t, '%', '') AS DOUBLE) / 100 ELSE try_cast(t AS DOUBLE) END AS tn, CASE WHEN p LIKE '%\\%' ESCAPE '\\' THEN try_cast(replace(p, '%', '') AS DOUBLE) / 100 ELSE try_cast(p AS DOUBLE) END AS pn FROM x)
@@ -71,7 +82,7 @@ def _(s, d):
 @query("X7_qa_f1")
 def _(s, d):
     docs = table(s, d, "documents")
-    return docs.select("doc_id", F.round(X.qa_f1(F.substring("text", 1, 120), F.substring("text", 40, 120)), 6).alias("f1"))
+    return docs.select("doc_id", F.round(X.qa_f1(F.col("text"), F.expr("substr(text, 40)")), 6).alias("f1"))
 
 
 _BOXES = "l_quantity AS x1, l_linenumber * 3.0 AS y1, l_quantity + 10 + l_linenumber AS x2, l_linenumber * 3.0 + 12 AS y2, l_quantity + l_partkey % 7 AS u1, l_linenumber * 3.0 + l_suppkey % 5 AS v1, l_quantity + 14 AS u2, l_linenumber * 3.0 + 15 AS v2"

@@ -174,3 +174,25 @@ def test_nothing_imports_the_pipeline_package():
             for n in names:
                 if n.endswith(".py"):
                     assert not re.search(r"sparkgauge\.llm|from \.llm|import llm", open(os.path.join(folder, n)).read()), n
+
+
+def test_whole_texts_and_all_languages(spark):
+    import string
+    from collections import Counter
+
+    from sparkgauge.queries import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+
+    def f1(p, r):
+        words = lambda t: re.sub(r"\b(a|an|the)\b", " ", t.lower().translate(str.maketrans("", "", string.punctuation)), flags=re.ASCII).split()
+        p, r = Counter(words(p)), Counter(words(r))
+        return 2 * (p & r).total() / (p.total() + r.total()) if p and r else float(p == r)
+
+    got = {x.doc_id: x.f1 for x in queries()["X7_qa_f1"](spark, sf).collect()}
+    for x in docs:
+        if (x.text or "").isascii():
+            assert got[x.doc_id] == pytest.approx(f1(x.text or "", (x.text or "")[39:]), abs=1e-5), x.doc_id
+    tasks = {x.task: x.n for x in queries()["E1_evaluate_languages"](spark, sf).collect()}
+    assert tasks == Counter(x.lang for x in docs)
