@@ -2,7 +2,9 @@
 
 A block is a run of lines around a line with a hint word; neighbouring lines join it while
 most of their words belong to the templates' vocabulary. Each block is compressed by
-zstandard without a dictionary and with every template as a raw dictionary. Templates are
+zstandard without a dictionary and with every template as a raw dictionary. What a notice
+saves is a small share of a long block, so a block is compressed as a whole and in spans of
+bounded size around each of its hints, a short and a long one. Templates are
 ranked by the size they save, and down the ranking those are confirmed whose wording the
 block really has: one of the template's phrases, word by word, with few words missing,
 none of them a word that tells licenses apart, and no such word put in between.
@@ -26,6 +28,8 @@ HINT = re.compile(r"licen[sc]|copyright|spdx|permission is hereby|all rights res
 _WORD = re.compile(r"\w+(?:\.\d+)*")
 #: How much of the block's compressed size a template must save to be looked at, and the share of a phrase's words that may be missing.
 LEAST_SAVED, MISSING = 0.05, 0.12
+#: Characters on both sides of a hint in its spans (more than any template has), and how far hints share spans.
+REACHES, SHARED = (160, 640), 40
 
 # Notices and references of well-known licenses, as their owners publish them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -154,17 +158,34 @@ def wording(block: list[str], phrase: list[str]) -> bool:
     return len(inside) <= max(2, MISSING * len(phrase)) and not any(w in TELLING for w in inside)
 
 
+def spans(block: str) -> list[str]:
+    """The block and, where it is longer, its spans around hints."""
+    out, reach = {block: None}, -1
+    for m in HINT.finditer(block):
+        if m.end() <= reach:
+            continue
+        reach = m.end() + SHARED
+        for near in REACHES:
+            a, b = max(0, m.start() - near), min(len(block), reach + near)
+            while a and a < m.start() and not block[a - 1].isspace():
+                a += 1
+            while b < len(block) and b > m.end() and not block[b].isspace():
+                b -= 1
+            out[block[a:b]] = None
+    return list(out)
+
+
 def licenses(block: str) -> list[tuple[str, float]]:
-    """(license, share saved) of the confirmed templates of a block, best first."""
-    own, out = words(block), []
-    for share, name in saved(block):
-        if share < LEAST_SAVED:
-            break
-        for phrase in TEMPLATES[name]:
-            if wording(own, words(phrase)):
-                out.append((name, round(share, 4)))
+    """(license, largest share saved) of the templates confirmed in the block or a span of it, best first."""
+    out: dict[str, float] = {}
+    for span in spans(block):
+        own = words(span)
+        for share, name in saved(span):
+            if share < LEAST_SAVED:
                 break
-    return out
+            if share > out.get(name, 0) and any(wording(own, words(phrase)) for phrase in TEMPLATES[name]):
+                out[name] = share
+    return sorted(((name, round(share, 4)) for name, share in out.items()), key=lambda x: (-x[1], x[0]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

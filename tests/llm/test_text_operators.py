@@ -424,6 +424,17 @@ def test_licenses():
     assert names("a license to speak, and no copyright") == []
 
 
+def test_licenses_in_long_lines():
+    r = random.Random(13)
+    for name, phrases in license_scan.TEMPLATES.items():
+        for phrase in phrases:
+            for n in (100, 1500):
+                line = f"{prose(r, n)} {phrase} {prose(r, n)}"
+                assert name in [x for b in license_scan.blocks(line) for x, _ in license_scan.licenses(b)], (name, phrase, n)
+    line = f"{prose(r, 500)} a license to speak, and no copyright {prose(r, 500)} Licensed under the Apache License, Version 1.0. {prose(r, 500)}"
+    assert [x for b in license_scan.blocks(line) for x in license_scan.licenses(b)] == []
+
+
 def test_license_odd(spark):
     rows = license_scan.scan(odd(spark)).collect()
     assert len(rows) == 14 and all(r.licenses == [] for r in rows)
