@@ -371,36 +371,69 @@ def test_decontamination_finds_and_verifies(spark):
     assert {x.doc_id for x in decontaminate.clean(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
-def test_block_pruning_loses_nothing():
-    r = random.Random(11)
-    pool = [prose(r, 1) for _ in range(200)]
-    items = [(i, " ".join(r.choice(pool) for _ in range(r.randint(3, 60)))) for i in range(50)]
+def brute_bm25(items, texts):
+    """{(text, window, item, place of the piece): score} by the formula, over every window and every entry."""
+    split = [[w.lower() for w in re.findall(r"[A-Za-z0-9]+", t)] for _, t in items]
+    spread, mean = Counter(w for ws in split for w in set(ws)), sum(map(len, split)) / len(split)
+    half, out = decontaminate.HALF, {}
+    weight = {w: np.log1p((len(items) - n + 0.5) / (n + 0.5)) for w, n in spread.items()}
+    entries = [(j, 0, ws) for j, ws in enumerate(split)]
+    entries += [(j, a, ws[a : a + half]) for j, ws in enumerate(split) if len(ws) > half for a in {*range(0, len(ws) - half, half // 2), len(ws) - half}]
+    scored = []
+    for j, a, ws in entries:
+        norm = decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * len(ws) / mean)
+        own = {w: weight[w] * f * (decontaminate.K1 + 1) / (f + norm) for w, f in Counter(ws).items()}
+        scored.append((j, a, len(ws), {w: x / sum(own.values()) for w, x in own.items()}))
+    for k, text in enumerate(texts):
+        ws = [w.lower() for w in re.findall(r"[A-Za-z0-9]+", text)]
+        for x in range(max(1, -(-len(ws) // half) - 1)):
+            here = set(ws[x * half : (x + 2) * half])
+            out |= {(k, x, items[j][0], a, n): sum(v for w, v in own.items() if w in here) for j, a, n, own in scored}
+    return out
+
+
+@pytest.mark.parametrize("words", [60, 200, 1000])
+def test_wand_equals_brute_bm25(words):
+    r = random.Random(words)
+    pool = [prose(r, 1) for _ in range(words)]
+    items = [(i, " ".join(r.choice(pool) for _ in range(r.choice([1, 2, 5, 20, 59, 64, 65, 150])))) for i in range(60)]
+    texts = [" ".join(r.choice(pool) for _ in range(r.randint(1, 400))) for _ in range(50)] + [t for _, t in items]
     index = decontaminate.build(items)
-    texts = [" ".join(r.choice(pool) for _ in range(r.randint(1, 300))) for _ in range(60)] + [t for _, t in items]
     raw, at = kernels.utf8(pa.array(texts))
-    got = {(a, b) for a, b, *_ in decontaminate.search(raw, at, index)}
-    names = {w: k for k, w in enumerate(index.vocabulary.tolist())}
-    want = set()
-    for k, text in enumerate(texts):
-        w = decontaminate.tokens(text)
-        flat = np.frombuffer(b"".join(w), np.uint8)
-        ends = np.cumsum([len(x) for x in w])
-        h = kernels.word_hashes(flat, ends - [len(x) for x in w], ends).tolist()
-        halves = -(-len(w) // decontaminate.HALF)
-        for x in range(max(1, halves - 1)):
-            own = sorted({names[y] for y in h[x * decontaminate.HALF : (x + 2) * decontaminate.HALF] if y in names})
-            score = index.impacts[own].sum(0)
-            want |= {(k, int(j)) for j in np.flatnonzero(score >= decontaminate.SCORE)}
-    assert want <= got
+    hashes, first = decontaminate._hashed(raw, at)
+    base, window, term = decontaminate.windows(hashes, first, index)
+    size = np.where(index.place > 0, decontaminate.HALF, 0)
+    got = {}
+    for w, entry, score in zip(*(x.tolist() for x in decontaminate.wand(window, term, index)), strict=True):
+        text, item = int(np.searchsorted(base, w, "right")) - 1, int(index.owner[entry])
+        key = (text, w - int(base[text]), index.ids[item], int(index.place[entry]))
+        got[key] = max(score, got.get(key, 0)) if not size[entry] else score
+    want = {}
+    for (k, x, item, a, _), score in brute_bm25(items, texts).items():
+        want[k, x, item, a] = max(score, want.get((k, x, item, a), 0))
+    sure = {k for k, v in want.items() if v >= decontaminate.SCORE + 1e-5}
+    open_ = {k for k, v in want.items() if abs(v - decontaminate.SCORE) < 1e-5}
+    assert sure <= set(got) <= sure | open_ and len(sure) > 40
+    assert all(abs(got[k] - want[k]) < 1e-5 for k in got)
 
 
 def test_decontamination_finds_long_items(spark):
     r = random.Random(12)
-    items = [(i, ". ".join(prose(r, 20).capitalize() for _ in range(n // 20)) + ".") for i, n in enumerate([60, 100, 200, 300, 400, 800, 2000] * 3)]
-    rows = [(i, " ".join([prose(r, r.randint(0, 150)), items[i][1], prose(r, r.randint(0, 150))]) if i < 21 else prose(r, 900)) for i in range(40)]
-    rows.append((40, " ".join([items[5][1][:600], prose(r, 900)])))  # a short part of an item is not the item
+    items = [(i, ". ".join(prose(r, 20).capitalize() for _ in range(-(-n // 20))) + ".") for i, n in enumerate([30, 60, 100, 200, 300, 400, 800, 2000, 5000] * 2)]
+    rows = [(i, " ".join([prose(r, r.randint(0, 150)), items[i][1], prose(r, r.randint(0, 150))]) if i < 18 else prose(r, 900)) for i in range(40)]
+    rows.append((40, " ".join([items[6][1][:600], prose(r, 900)])))  # a short part of an item is not the item
+    middle = items[7][1].split()
+    rows.append((41, " ".join([*middle[:1000], *prose(r, 300).split(), *middle[1000:]])))  # an item with a passage put in
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    assert {(x.doc_id, x.item_id) for x in decontaminate.matches(docs, bench).collect()} == {(i, i) for i in range(21)}
+    got = {(x.doc_id, x.item_id, round(x.score, 5)) for x in decontaminate.matches(docs, bench).collect()}
+    assert {(a, b) for a, b, _ in got} == {(i, i) for i in range(18)} | {(41, 7)}
+    # dealt to many indexes, the statistics and so the scores stay
+    assert {(x.doc_id, x.item_id, round(x.score, 5)) for x in decontaminate.matches(docs, bench, part_bytes=8000).collect()} == got
+
+
+def test_decontamination_reads_texts_once(spark):
+    items = spark.range(5000).selectExpr("id as item_id", "concat('item ', md5(cast(id as string)), ' ', md5(cast(id + 1 as string)), ' and ', md5(cast(id as string))) as text")
+    assert len(list(decontaminate.indexes(items))) == 1
 
 
 def test_decontamination_odd(spark):
@@ -409,6 +442,8 @@ def test_decontamination_odd(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.matches(odd(spark), none).count() == 0 and decontaminate.clean(odd(spark), none).count() == 14
     assert decontaminate.clean(empty(spark), bench).count() == 0
+    kept = decontaminate.clean(odd(spark), bench)
+    assert kept.columns == odd(spark).columns and kept.count() == 13
 
 
 # licenses
