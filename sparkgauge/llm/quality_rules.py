@@ -4,7 +4,8 @@ Words and word pairs are hashed into ``BUCKETS`` buckets. One multinomial over t
 is counted from all texts (raw), one from trusted texts (target). A text's score is the
 mean over its n-grams of log target - log raw, and a text is kept from ``THRESHOLD`` on.
 All work is done by SQL functions; the counted table has ``BUCKETS`` rows whatever the
-input, so it travels to the second pass as one literal array and no text is shuffled.
+input, so it travels to the second pass as one literal array. Raw counts come from a plain
+scan; trusted texts are found by a semi-join, whose plan Spark chooses by the labels' size.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, THRESHOLD, BROADCAST = 10_000, -0.035, 1 << 18
+BUCKETS, THRESHOLD = 10_000, -0.035
 WHITE = "[\\x20\\x09-\\x0D]+"
 MIN_WORDS, MOST_REPEATED = 20, 30
 
@@ -33,24 +34,22 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), WHITE), lambda w: w != "")
 
 
-def hashed_grams(words: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of all words, then of all pairs of neighbouring words."""
+def hashes_of(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-    def both(h: Column) -> Column:
-        one = F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
-        pairs = F.when(F.size(h) > 1, F.transform(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(h[i], x), F.lit(buckets)).cast("int")))
-        return F.concat(one, F.coalesce(pairs, F.array().cast("array<int>")))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), both)
+def hashed_grams(hashes: Column, buckets: int = BUCKETS) -> Column:
+    """Buckets of all words, then of all pairs of neighbouring words, from the words' hashes."""
+    one = F.transform(hashes, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+    pairs = F.transform(F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(hashes[i], x), F.lit(buckets)).cast("int"))
+    return F.when(F.size(hashes) > 1, F.concat(one, pairs)).otherwise(one)
 
 
-def repeated_words(words: Column, width: int = 8) -> Column:
-    """How many words lie in ``width``-word windows that occur more than once in the array."""
+def repeated_words(hashes: Column, width: int = 8) -> Column:
+    """How many words lie in ``width``-word windows that occur more than once, from the words' hashes."""
     none = F.array().cast("array<bigint>")
-
-    def windows(h: Column) -> Column:
-        at = F.transform(F.slice(h, 1, F.greatest(F.size(h) - width + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *(h[i + k] for k in range(1, width))))
-        return F.when(F.size(h) >= width, at).otherwise(none)
+    at = F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - width + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *(hashes[i + k] for k in range(1, width))))
+    windows = F.when(F.size(hashes) >= width, at).otherwise(none)
 
     def covered(win: Column) -> Column:
         # hashes share a sorted array of longs with their places: high bits and low bits
@@ -71,11 +70,11 @@ def repeated_words(words: Column, width: int = 8) -> Column:
         )
         return F.when(F.size(F.array_distinct(win)) == F.size(win), F.lit(0).cast("long")).otherwise(let(let(F.sort_array(keyed), twice), total))
 
-    return let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), covered)
+    return let(windows, covered)
 
 
-def base_columns(text: Column, words: Column) -> dict[str, Column]:
-    """The counts of the base rules."""
+def base_columns(text: Column, words: Column, hashes: Column) -> dict[str, Column]:
+    """The counts of the base rules. Windows of words are compared by their 64-bit hashes."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     worded = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
     return {
@@ -83,27 +82,28 @@ def base_columns(text: Column, words: Column) -> dict[str, Column]:
         "word_chars": F.length(F.regexp_replace(text, WHITE, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
         "n_dup_lines": let(worded, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-        "n_repeat_words": repeated_words(words),
+        "n_repeat_words": repeated_words(hashes),
     }
 
 
 def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[float]:
     """log target - log raw of every bucket, with one added to each count.
 
-    Raw counts cover all texts, target counts all texts labelled 1. Up to ``BROADCAST``
-    trusted ids are broadcast; beyond that they meet the texts in an ordinary join.
+    Raw counts cover all texts, target counts all texts whose id is labelled 1. Null ids
+    are never trusted; repeated rows count each.
     """
-    trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct().withColumn("trusted", F.lit(1))
-    few = trusted.limit(BROADCAST + 1).count() <= BROADCAST
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    grams = texts.join(F.broadcast(trusted) if few else trusted, "id", "left").select("trusted", F.explode(hashed_grams(words_of(F.col("text")))).alias("bucket"))
-    counted = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target")).collect()
-    raw, target = [1] * BUCKETS, [1] * BUCKETS
-    for r in counted:
-        raw[r.bucket] += r.raw
-        target[r.bucket] += r.target
-    shift = math.log(sum(raw)) - math.log(sum(target))
-    return [math.log(t) - math.log(r) + shift for t, r in zip(target, raw, strict=True)]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("id"))
+
+    def counted(some: DataFrame, name: str) -> DataFrame:
+        grams = some.select(F.explode(let(hashes_of(words_of(F.col("text"))), lambda h: hashed_grams(h))).alias("bucket"))
+        return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("of", F.lit(name))
+
+    counts = {"raw": [1] * BUCKETS, "target": [1] * BUCKETS}
+    for r in counted(texts, "raw").unionByName(counted(texts.join(trusted, "id", "left_semi"), "target")).collect():  # at most 2 * BUCKETS rows
+        counts[r.of][r.bucket] += r.n
+    shift = math.log(sum(counts["raw"])) - math.log(sum(counts["target"]))
+    return [math.log(t) - math.log(r) + shift for t, r in zip(counts["target"], counts["raw"], strict=True)]
 
 
 def judge(docs: DataFrame, table: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -114,12 +114,13 @@ def judge(docs: DataFrame, table: list[float], text_col: str = "text", threshold
     """
     llr = F.split(F.lit(",".join(f"{x:.6g}" for x in table)), ",").cast("array<double>")
 
-    def all_of(words: Column) -> Column:
-        total = let(hashed_grams(words, len(table)), lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(llr, b)) / F.greatest(F.size(g), F.lit(1)))
-        return F.struct(*(c.alias(n) for n, c in base_columns(F.col(text_col), words).items()), total.alias("llr"))
+    def all_of(both: Column) -> Column:
+        words, hashes = both["words"], both["hashes"]
+        total = let(hashed_grams(hashes, len(table)), lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(llr, b)) / F.greatest(F.size(g), F.lit(1)))
+        return F.struct(*(c.alias(n) for n, c in base_columns(F.col(text_col), words, hashes).items()), total.alias("llr"))
 
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr"]
-    found = docs.drop(*names, "base_failed", "kept").withColumn("__rules", let(words_of(F.col(text_col)), all_of))
+    found = docs.drop(*names, "base_failed", "kept").withColumn("__rules", let(let(words_of(F.col(text_col)), lambda w: F.struct(w.alias("words"), hashes_of(w).alias("hashes"))), all_of))
     flat = found.select(*(c for c in found.columns if c != "__rules"), *(F.col(f"__rules.{n}").alias(n) for n in names))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return flat.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))

@@ -267,6 +267,51 @@ def test_rules_tell_trusted_text(spark):
     assert min(x.llr for x in out if x.doc_id < 20) > max(x.llr for x in out if x.doc_id >= 100)
 
 
+def brute_ratios(rows, trusted, bucket):
+    """log target - log raw of the buckets, from plain loops over the n-grams."""
+    raw, target = Counter(), Counter()
+    for i, text in rows:
+        w = WORD.findall(text or "")
+        grams = [bucket[x] for x in [(a,) for a in w] + list(zip(w, w[1:], strict=False))]
+        raw.update(grams)
+        if i in trusted:
+            target.update(grams)
+    n = quality_rules.BUCKETS
+    total = np.log(raw.total() + n) - np.log(target.total() + n)
+    return [np.log(target[k] + 1) - np.log(raw[k] + 1) + total for k in range(n)]
+
+
+def test_llr_and_verdict_equal_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(14)
+    pool = [prose(r, 1) for _ in range(80)]
+    rows = [(i, " ".join(r.choice(pool[: 40 + i % 41]) for _ in range(r.randint(0, 90)))) for i in range(80)] + [(3, "one more text"), (None, "no id at all"), (90, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 80, 2)] + [(0, 1), (None, 1)], "doc_id long, quality int")
+    grams = {g for _, t in rows for w in [WORD.findall(t or "")] for g in [(a,) for a in w] + list(zip(w, w[1:], strict=False))}
+    frame = spark.createDataFrame([(*g, None)[:2] for g in sorted(grams)], "a string, b string")
+    one = F.pmod(F.xxhash64("a"), F.lit(quality_rules.BUCKETS))
+    two = F.pmod(F.xxhash64(F.xxhash64("a"), F.xxhash64("b")), F.lit(quality_rules.BUCKETS))
+    bucket = {(x.a,) if x.b is None else (x.a, x.b): x.k for x in frame.select("a", "b", F.when(F.col("b").isNull(), one).otherwise(two).alias("k")).collect()}
+    table = quality_rules.ratios(docs, labels)
+    want = brute_ratios(rows, {i for i in range(0, 80, 2) if i % 3 == 0}, bucket)
+    assert np.allclose(table, want)
+    for x in quality_rules.judge(docs, table).collect():
+        w = WORD.findall(x.text or "")
+        at = [bucket[g] for g in [(a,) for a in w] + list(zip(w, w[1:], strict=False))]
+        llr = sum(want[k] for k in at) / max(len(at), 1)
+        assert x.llr == pytest.approx(llr, abs=1e-5)
+        assert x.kept == (not x.base_failed and x.llr >= quality_rules.THRESHOLD)
+
+
+def test_verdict_agrees_with_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = "crc32(cast(doc_id as string)) % 5 = 0"
+    got = quality_rules.judge(docs, quality_rules.ratios(docs, labels.where(f"not ({out})"))).join(labels, "doc_id").where(out).select("kept", "quality").collect()
+    assert np.mean([x.kept for x in got if x.quality]) > 0.8 and np.mean([x.kept for x in got if not x.quality]) < 0.1
+
+
 def test_rules_odd(spark):
     table = quality_rules.ratios(odd(spark), spark.createDataFrame([(4, 1), (None, 1)], "doc_id long, quality int"))
     out = quality_rules.judge(odd(spark), table)
