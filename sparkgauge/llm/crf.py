@@ -1,7 +1,9 @@
 """Linear-chain conditional random fields in numpy.
 
-A chain of n positions has emission scores E (n, S) and a transition matrix T (S, S).
-Chains are padded to one length for training; ``mask`` tells their real positions.
+Chains stand one after another in flat arrays: ``emit`` (N, S) holds the emission scores of
+all positions and ``first`` where each chain begins, with N at the end. The transition
+matrix T (S, S) is shared. Forward and backward run as segmented scans of products of
+matrices, which take a logarithmic number of steps in the longest chain and need no padding.
 """
 
 from __future__ import annotations
@@ -9,78 +11,94 @@ from __future__ import annotations
 import numpy as np
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of the matrices (S, S, N) of two arrays, each scaled to a largest entry of 1."""
+    out = a[:, :1] * b[:1]
+    for k in range(1, a.shape[1]):
+        out += a[:, k : k + 1] * b[k : k + 1]
+    return out / out.max((0, 1))
 
 
-def forward_backward(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(alpha, beta, log Z) of padded chains (B, L, S) in order of falling length, and how many chains are alive at each step."""
-    b, n, s = emit.shape
-    alive = np.searchsorted(-lengths, -np.arange(n), "left")
-    alpha, beta = np.zeros((b, n, s)), np.zeros((b, n, s))
-    if n:
-        alpha[:, 0] = emit[:, 0]
-    for t in range(1, n):
-        k = alive[t]
-        alpha[:k, t] = emit[:k, t] + _lse(alpha[:k, t - 1, :, None] + trans, 1)
-    for t in range(n - 2, -1, -1):
-        k = alive[t + 1]
-        beta[:k, t] = _lse(trans + (emit[:k, t + 1] + beta[:k, t + 1])[:, None, :], 2)
-    z = _lse(alpha[np.arange(b), lengths - 1], 1)
-    return alpha, beta, z, alive
+def _scan(m: np.ndarray, place: np.ndarray, back: bool) -> np.ndarray:
+    """Products of each position's matrix with all before it in its chain (``back``: with all after it).
+
+    ``place`` counts the positions before (after) it in the chain.
+    """
+    m, step = m.copy(), 1
+    rows = np.flatnonzero(place >= 1)
+    while len(rows):
+        m[:, :, rows] = _product(m[:, :, rows], m[:, :, rows + step]) if back else _product(m[:, :, rows - step], m[:, :, rows])
+        step *= 2
+        rows = rows[place[rows] >= step]
+    return m
+
+
+def expectations(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """(P(state) at each position (N, S), and with ``pairs`` the expected counts of transitions (S, S))."""
+    n, s = emit.shape
+    if not n:
+        return np.zeros((0, s)), np.zeros((s, s))
+    size = np.diff(first)
+    first, size = first[:-1][size > 0], size[size > 0]
+    before = np.arange(n) - np.repeat(first, size)
+    after = np.repeat(size, size) - before - 1
+    emit = np.ascontiguousarray(emit.T)
+    emit = np.exp(emit - emit.max(0))
+    m = np.exp(trans - trans.max())[:, :, None] * emit
+    m[:, :, first] = emit[:, first]  # a chain's first position has no transition
+    alpha = _scan(m, before, False)[0]
+    # of a position, the matrix to the one after it; its last position has none
+    to = np.empty_like(m)
+    to[:, :, :-1] = m[:, :, 1:]
+    to[:, :, first + size - 1] = np.eye(s)[:, :, None]
+    beta = _scan(to, after, True).sum(1)
+    p = alpha * beta
+    p /= p.sum(0)
+    if not pairs:
+        return p.T, None
+    inner = np.flatnonzero(before)
+    joint = alpha[:, None, inner - 1] * m[:, :, inner] * beta[None, :, inner]
+    return p.T, (joint / joint.sum((0, 1))).sum(2)
 
 
-def marginals(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """P(state) at each position (B, L, S); 0 beyond a chain's end. Chains in order of falling length."""
-    alpha, beta, z, _ = forward_backward(emit, lengths, trans)
-    out = np.exp(alpha + beta - z[:, None, None])
-    out[np.arange(emit.shape[1])[None, :] >= lengths[:, None]] = 0
-    return out
+def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """P(state) at each position (N, S)."""
+    return expectations(emit, first, trans, False)[0]
 
 
-def viterbi(emit: np.ndarray, trans: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
-    """The best path of one chain; ``first`` and ``last`` are scores of entering and leaving it."""
-    best, back = emit[0] + (0 if first is None else first), []
+def viterbi(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The best path of one chain."""
+    best, back = emit[0], []
     for e in emit[1:]:
         step = best[:, None] + trans
         back.append(step.argmax(0))
         best = step.max(0) + e
-    path = [int((best + (0 if last is None else last)).argmax())]
+    path = [int(best.argmax())]
     for b in reversed(back):
         path.append(int(b[path[-1]]))
     return np.array(path[::-1])
 
 
-def train(features: np.ndarray, lengths: np.ndarray, labels: np.ndarray, states: int, weights: np.ndarray | None = None, rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """(W (F, S), T (S, S)) that maximise the penalised log-likelihood of padded chains.
+def train(features: np.ndarray, first: np.ndarray, evidence: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-3, enough: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """(W (F, S), T (S, S)) that maximise the penalised log-likelihood of what is known about the states.
 
-    features (B, L, F) and labels (B, L); ``weights`` (B,) of the chains. Plain Adam on the
-    whole sample from zero weights, so equal samples give equal models.
+    ``evidence`` (N, S) are log-probabilities of what was observed at a position given its
+    state: 0 for the known state and a very negative number for others where states are
+    labelled, less where they are not. The gradient is the difference between expectations
+    with and without the evidence, so states that nobody labelled are summed over. Plain
+    Adam from zero weights, until no gradient is larger than ``enough`` or for ``rounds``.
     """
-    order = np.argsort(-lengths, kind="stable")
-    features, lengths, labels = features[order], lengths[order], labels[order]
-    share = np.ones(len(lengths)) if weights is None else weights[order]
-    share = share / share.sum()
-    b, n, f = features.shape
-    mask = np.arange(n)[None, :] < lengths[:, None]
-    gold = np.eye(states)[labels] * mask[:, :, None]
-    flat = features.reshape(b * n, f)
+    f, states, share = features.shape[1], evidence.shape[1], 1 / max(len(first) - 1, 1)
     w, t = np.zeros((f, states)), np.zeros((states, states))
-    gold_t = np.einsum("b,bti,btj->ij", share, gold[:, :-1], gold[:, 1:]) if n > 1 else np.zeros_like(t)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, t)]
     for k in range(1, rounds + 1):
-        emit = (flat @ w).reshape(b, n, states)
-        alpha, beta, z, alive = forward_backward(emit, lengths, t)
-        p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
-        gw = flat.T @ ((gold - p) * share[:, None, None]).reshape(b * n, states) - decay * w
-        gt = gold_t - decay * t
-        for i in range(1, n):
-            a = alive[i]
-            if not a:
-                break
-            joint = np.exp(alpha[:a, i - 1, :, None] + t + (emit[:a, i] + beta[:a, i])[:, None, :] - z[:a, None, None])
-            gt = gt - np.einsum("b,bij->ij", share[:a], joint)
+        emit = features @ w
+        p, joint = expectations(emit, first, t)
+        known, known_joint = expectations(emit + evidence, first, t)
+        gw = features.T @ (known - p) * share - decay * w
+        gt = (known_joint - joint) * share - decay * t
+        if max(np.abs(gw).max(), np.abs(gt).max()) < enough:
+            break
         for x, g, s in ((w, gw, state[0]), (t, gt, state[1])):
             s[0] = 0.9 * s[0] + 0.1 * g
             s[1] = 0.99 * s[1] + 0.01 * g * g

@@ -5,9 +5,13 @@ repeated words, repetition of earlier lines, length) and those of the lines befo
 after it. A linear-chain model with the states bad and good gives each line's marginal by
 forward-backward, and a document's score is their mean weighted by the lines' bytes.
 
-The model is fitted on the driver from at most ``SAMPLE`` labelled documents (those with
-the smallest hashes of their ids; of each, at most ``SAMPLE_LINES`` lines), every line
-with its document's label. Scoring reads every line of every text.
+Labels are known for documents, not for lines, so a line's state is latent: a document's
+label is noisy evidence on each of its lines (``STRAY``: how likely a bad line is in a good
+document and a good line in a bad one), and the fit sums over the states. A bad document
+may thus hold good lines and the chain learns where one kind follows another.
+
+The model is fitted on the driver from whole texts of at most ``SAMPLE`` labelled
+documents, those with the smallest hashes of their ids. Scoring reads every line of every text.
 """
 
 from __future__ import annotations
@@ -22,7 +26,9 @@ from pyspark.sql import functions as F
 from sparkgauge.llm import crf
 from sparkgauge.llm import kernels as K
 
-SAMPLE, SAMPLE_LINES, THRESHOLD = 4000, 60, 0.3
+SAMPLE, THRESHOLD = 3000, 0.3
+#: How likely a bad line is in a good document, and a good line in a bad one.
+STRAY = (0.02, 0.2)
 _KINDS = np.zeros((5, 256), bool)
 _KINDS[0, list(b"#*$%&<>~^@")] = True
 _KINDS[1, list(b"!?")] = True
@@ -94,51 +100,45 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i, j in K.slices(at):
             x, _, first = line_features(raw[at[i] : at[j]], at[i : j + 1] - at[i])
-            rows += [x[first[k] : first[k + 1]][:SAMPLE_LINES].astype(np.float32).tobytes() for k in range(j - i)]
+            rows += [x[first[k] : first[k + 1]].tobytes() for k in range(j - i)]
         yield pa.record_batch([batch.column(0), pa.array(rows, pa.binary())], names=["label", "lines"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """(W, T) of the line model; zeros (all scores 0.5) unless the sample has both labels. Labels other than 0 and 1, and ids that occur with both, are left out."""
+    """(W, T) of the line model; zeros (all scores 0.5) unless the sample has both labels.
+
+    Labels other than 0 and 1, and ids that occur with both, are left out. Repeated rows
+    count once; an id with several texts stands for one of them (that of the smallest hash).
+    """
     clear = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     clear = clear.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("high")).where("label = high").select("id", "label")
     chosen = clear.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = K.arrow(texts.join(F.broadcast(chosen), "id").select("label", "text"), _sampled, "label int, lines binary").collect()
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = K.arrow(one.select("label", "text"), _sampled, "label int, lines binary").collect()  # at most SAMPLE rows
     rows = sorted((r.label, bytes(r.lines)) for r in rows)
     if len({r[0] for r in rows}) < 2:
         return np.zeros((WIDTH, 2)), np.zeros((2, 2))
-    lines = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for _, b in rows]
-    lengths = np.array([len(x) for x in lines])
-    grid = np.zeros((len(lines), lengths.max(), WIDTH), np.float32)
-    for k, x in enumerate(lines):
-        grid[k, : len(x)] = x
-    label = np.array([r[0] for r in rows])
-    return crf.train(grid, lengths, np.repeat(label[:, None], grid.shape[1], 1), 2, rounds=120)
+    lines = np.frombuffer(b"".join(b for _, b in rows), np.float32).reshape(-1, WIDTH)
+    size = np.array([len(b) // (4 * WIDTH) for _, b in rows])
+    label = np.repeat([r[0] for r in rows], size)
+    in_good, in_bad = np.array([STRAY[0], 1 - STRAY[1]]), np.array([1 - STRAY[0], STRAY[1]])
+    evidence = np.log(np.where(label[:, None] == 1, in_good, in_bad))
+    return crf.train(lines, np.concatenate([[0], np.cumsum(size)]), evidence, rounds=90, rate=0.25, decay=1e-4)
 
 
-def score_texts(column: pa.Array, w: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The score of each text, 0 to 1."""
+def line_scores(column: pa.Array, w: np.ndarray, t: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(P(good) of each line, bytes of each line, lines before each text) for consecutive slices of the texts."""
     raw, at = K.utf8(column)
-    out = []
     for i, j in K.slices(at, 2 << 20):
         x, size, first = line_features(raw[at[i] : at[j]], at[i : j + 1] - at[i])
-        emit = x @ w
-        n = np.diff(first)
-        order = np.argsort(-n, kind="stable")
-        good = np.empty(len(x))
-        low = 0
-        while low < len(order):  # chains of similar length together, so padding stays small
-            high = low + int(np.searchsorted(-n[order[low:]], -(n[order[low]] // 2), "right"))
-            high = max(high, low + 1)
-            part = order[low:high]
-            own = n[part]
-            grid = np.zeros((len(part), own[0], 2))
-            inside = np.arange(own[0])[None, :] < own[:, None]
-            at_line = (first[part][:, None] + np.arange(own[0])[None, :])[inside]
-            grid[inside] = emit[at_line]
-            good[at_line] = crf.marginals(grid, own, t)[:, :, 1][inside]
-            low = high
+        yield crf.marginals(x @ w, first, t)[:, 1], size, first
+
+
+def score_texts(column: pa.Array, w: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The score of each text, 0 to 1."""
+    out = []
+    for good, size, first in line_scores(column, w, t):
         weight = np.maximum(size, 1)
         out.append(np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1]))
     return np.clip(np.concatenate(out), 0, 1) if out else np.zeros(0)

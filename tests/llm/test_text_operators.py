@@ -191,17 +191,65 @@ def test_forward_backward_equals_enumeration():
     from sparkgauge.llm import crf
 
     rng = np.random.default_rng(1)
-    emit, trans = rng.normal(size=(1, 4, 2)), rng.normal(size=(2, 2))
-    total, mass = 0.0, np.zeros((4, 2))
-    best = (None, -np.inf)
-    for path in product(range(2), repeat=4):
-        s = sum(emit[0, t, y] for t, y in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:], strict=False))
-        total += np.exp(s)
-        for t, y in enumerate(path):
-            mass[t, y] += np.exp(s)
-        best = max(best, (path, s), key=lambda x: x[1])
-    assert np.allclose(crf.marginals(emit, np.array([4]), trans)[0], mass / total)
-    assert tuple(crf.viterbi(emit[0], trans)) == best[0]
+    sizes, trans = [4, 1, 6, 0, 3], rng.normal(size=(3, 3))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    emit, want, joint = rng.normal(size=(first[-1], 3)) * 3, [], np.zeros((3, 3))
+    for a, b in zip(first, first[1:], strict=False):
+        total, mass, moves, best = 0.0, np.zeros((b - a, 3)), np.zeros((3, 3)), (None, -np.inf)
+        for path in product(range(3), repeat=int(b - a)) if b > a else ():
+            s = sum(emit[a + t, y] for t, y in enumerate(path)) + sum(trans[x, y] for x, y in zip(path, path[1:], strict=False))
+            total += np.exp(s)
+            for t, y in enumerate(path):
+                mass[t, y] += np.exp(s)
+            for x, y in zip(path, path[1:], strict=False):
+                moves[x, y] += np.exp(s)
+            best = max(best, (path, s), key=lambda x: x[1])
+        if b > a:
+            want.append(mass / total)
+            joint += moves / total
+            assert tuple(crf.viterbi(emit[a:b], trans)) == best[0]
+    got, pairs = crf.expectations(emit, first, trans)
+    assert np.allclose(got, np.concatenate(want)) and np.allclose(pairs, joint)
+
+
+def test_scores_are_length_weighted_marginals():
+    """A text's score against plain enumeration of all paths over its lines."""
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    w, t = rng.normal(size=(quality_crf.WIDTH, 2)), rng.normal(size=(2, 2))
+    texts = ["a b c\nd e f!!\n| x |\nQ W E", "", "one line", "a\n" * 9, "é" * 10]
+    for text, got in zip(texts, quality_crf.score_texts(pa.array(texts), w, t), strict=True):
+        raw, at = kernels.utf8(pa.array([text]))
+        x, size, _ = quality_crf.line_features(raw, at)
+        emit, total, good = x @ w, 0.0, np.zeros(len(x))
+        for path in product(range(2), repeat=len(x)):
+            s = np.exp(sum(emit[k, y] for k, y in enumerate(path)) + sum(t[a, b] for a, b in zip(path, path[1:], strict=False)))
+            total += s
+            good += s * np.array(path)
+        assert size.tolist() == [len(line.encode()) for line in text.split("\n")]
+        weight = np.maximum(size, 1)
+        assert got == pytest.approx((good / total * weight).sum() / weight.sum())
+
+
+def test_quality_finds_lines_of_a_mixed_document(spark):
+    """Labels are of documents; in a text of half good and half junk lines each half is told by itself."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    out = "crc32(cast(doc_id as string)) % 5 = 0"
+    w, t = quality_crf.fit(docs, labels.where(f"not ({out})"))
+    known = docs.join(labels, "doc_id").where(out).select("text", "quality").collect()
+    tell = lambda x: sum(c in "|!$%&*#" for c in x) > 0.05 * len(x)
+    good = [x for r in known if r.quality for x in r.text.split("\n") if len(x.split()) > 6 and not tell(x)]
+    junk = [x for r in known if not r.quality for x in r.text.split("\n") if len(x.split()) > 6 and tell(x)]
+    mixed = ["\n".join([*good[k : k + 6], *(junk * 9)[k : k + 6]]) for k in range(0, 48, 6)]
+    right = n = 0
+    for p, _, first in quality_crf.line_scores(pa.array(mixed), w, t):
+        for a, b in zip(first, first[1:], strict=False):
+            right += sum((p[a:b] > 0.5) == ([True] * 6 + [False] * 6))
+            n += b - a
+    assert n == 96 and right > 0.9 * n
+    assert all(0.1 < x < 0.9 for x in quality_crf.score_texts(pa.array(mixed), w, t))
 
 
 def test_quality_held_out(spark):
@@ -222,6 +270,14 @@ def test_quality_odd(spark):
     assert quality_crf.score(empty(spark), model).count() == 0
 
 
+def test_quality_fit_takes_each_document_once(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)] + [(0, 1), (1, None), (None, 1)], "doc_id long, quality int")
+    rows = [(k, "good words in a line\nand more" if k % 2 else "!! | $$\n| | |") for k in range(6)]
+    once = quality_crf.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    often = quality_crf.fit(spark.createDataFrame(rows * 5 + [(1, None), (None, "x")], "doc_id long, text string"), labels)
+    assert all(np.allclose(a, b) for a, b in zip(once, often, strict=True)) and np.abs(once[0]).max() > 0
+
+
 def test_scores_do_not_depend_on_neighbours():
     rng = np.random.default_rng(2)
     w, t = rng.normal(size=(quality_crf.WIDTH, 2)) * 0.1, rng.normal(size=(2, 2))
