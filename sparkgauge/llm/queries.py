@@ -46,7 +46,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.sparkgauge.pii.key", "only for tests")
+    """With the key of the session; the driver's tables are made up, so without one a fixed key does (``pii.replace`` has no default)."""
+    key = spark.conf.get("spark.sparkgauge.pii.key", "only for made-up tables")
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 

@@ -380,37 +380,106 @@ def test_rules_odd(spark):
 # personal data
 
 
-def test_pii_surrogates(spark):
+def plain_permuted(key, form, values, radices):
+    """``pii.permuted`` in plain Python."""
+    import hashlib
+
+    def stream(turn, said, n):
+        return "".join(hashlib.sha512("\x1f".join((key, form, str(turn), said, str(b))).encode()).hexdigest() for b in range(-(-n // 16) + 1))
+
+    number = lambda h, i: int(h[i * 8 : i * 8 + 8], 16)
+
+    def turned(s, odd, turn, sign):
+        h = stream(turn, ",".join(str(v) for i, v in enumerate(s) if i % 2 != odd), len(s))
+        return [(v + sign * number(h, i)) % radices[i] if i % 2 == odd else v for i, v in enumerate(s)]
+
+    at = next((i for i, r in enumerate(radices) if r > 1), None)
+    if at is None:
+        return values
+    odd = at % 2
+    s = turned(turned(values, odd, 1, 1), 1 - odd, 2, 1)
+    s[at] = (s[at] + number(stream(3, "", 1), 0) % (radices[at] - 1) + 1) % radices[at]
+    return turned(turned(s, 1 - odd, 2, -1), odd, 1, -1)
+
+
+def plain_letters(key, kind, text, fixed=()):
+    which = [next((k for k, a in enumerate(pii.ALPHABETS) if c in a), -1) if i not in fixed else -1 for i, c in enumerate(text)]
+    form = f"{kind}:" + " ".join(str(k) if k >= 0 else c for k, c in zip(which, text, strict=True))
+    new = plain_permuted(key, form, [pii.ALPHABETS[k].index(c) if k >= 0 else 0 for k, c in zip(which, text, strict=True)], [len(pii.ALPHABETS[k]) if k >= 0 else 1 for k in which])
+    return "".join(pii.ALPHABETS[k][v] if k >= 0 else c for k, v, c in zip(which, new, text, strict=True))
+
+
+def plain_luhn(n):
+    ds = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(n))]
+    return sum(x - 9 * (x > 9) for x in ds) % 10
+
+
+def plain_surrogate(key, e):
+    cased = lambda new, old: "".join(n.upper() if o != o.lower() else n for n, o in zip(new, old, strict=True))
+    if "@" in e:
+        head, _, tail = e.rpartition(".")
+        return cased(f"{plain_letters(key, 'email', head.lower())}.{tail.lower()}", e)
+    digits = re.sub("[^0-9]", "", e)
+    lay = lambda new: "".join(new[len(re.sub("[^0-9]", "", e[: i + 1])) - 1] if c.isdigit() else c for i, c in enumerate(e))
+    if re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", e):
+        o = list(map(int, e.split(".")))
+        form = "ipv4:" + ".".join("" if 0 < x < 255 else str(x) for x in o)
+        new = plain_permuted(key, form, [x - 1 if 0 < x < 255 else 0 for x in o], [254 if 0 < x < 255 else 1 for x in o])
+        return ".".join(str(v + 1 if 0 < x < 255 else x) for x, v in zip(o, new, strict=True))
+    if re.fullmatch(r"\d{4}([ -]?\d{4}){2}[ -]?\d{1,7}", e):
+        head = plain_letters(key, "card", digits[:-1])
+        return lay(head + str((plain_luhn(digits) - plain_luhn(head + "0")) % 10))
+    if e[0] in "+(" or e[0].isdigit():
+        plain = "+" * e.startswith("+") + digits
+        return lay(re.sub("[^0-9]", "", plain_letters(key, "phone", plain, range(len(re.match(pii._CODE, plain)[0]) if e.startswith("+") else 0))))
+    title = re.match(pii._TITLE, e)[0] if re.match(pii._TITLE, e) else ""
+    return title + " ".join(cased(plain_letters(key, "name", w.lower(), [len(w) - 1] if len(w) >= 4 else []), w) for w in e[len(title) :].split(" "))
+
+
+def test_pii_surrogates_equal_plain_python(spark):
+    r = random.Random(15)
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    rows = ["a@b.co", "Ada.Low+x@Mail7.Example.com", "Жук@почта.рф", "Ms. Ada Low", "Mr O’Neil", "Frau Müller", "Госпожа Анна Иванова", "Sr. Núñez", "Mr Al", "0.0.0.0", "255.1.2.0", "+4930123456789", "+1 (017) 555-7713", "(017) 555-7713", "017-555-7713", "4111-1111-1111-1111"]
+    rows += [f"{pick('abcdxyz0123._', r.randint(1, 30))}x@{pick('abco', r.randint(1, 12))}.org" for _ in range(40)] + [".".join(str(r.randint(0, 299)) for _ in range(4)) for _ in range(40)]
+    rows += [f"+{r.choice(['1', '49', '358'])} {pick('0123456789', 3)} {pick('0123456789', 3)} {pick('0123456789', r.randint(2, 4))}" for _ in range(40)] + [pick("0123456789", 16) for _ in range(40)] + [f"Mrs {pick('ABC', 1)}{pick('abcdeéñ', r.randint(1, 9))}" for _ in range(40)]
+    got = {x.text: x.new for x in spark.createDataFrame([(t,) for t in rows], "text string").select("text", pii.surrogate("key", __import__("pyspark").sql.functions.col("text")).alias("new")).collect()}
+    assert got == {t: plain_surrogate("key", t) for t in rows}
+    fixed = {"0.0.0.0"} | {t for t in rows if re.fullmatch(r"[\d.]+", t) and all(x == "0" or int(x) > 254 for x in t.split(".")) and t.count(".") == 3}
+    assert all(got[t] != t for t in rows if t not in fixed)
+    assert all(plain_luhn(got[t]) == plain_luhn(t) for t in rows if re.fullmatch(r"\d{16}", t))
+
+
+def test_pii_mentions_agree(spark):
     rows = [
-        (1, "Ms. Ada Low and Mr Low: ada.low7@mail7.example.com, +1 (017) 555-7713, 97.51.17.173, 4111111111111111."),
-        (2, "Mr Low again, ADA@x.example.org and 4111111111111112"), (3, "Госпожа Анна Иванова"), (4, None), (5, "no such thing 12 3.5"), (None, "7.7.7.7"),
+        (1, "Ms. Anna Low and Mr Low met Low: ada.low7@mail7.example.com, ADA.Low7@mail7.example.com, +1 (017) 555-7713, +10175557713, 4111 1111 1111 1111, 4111-1111-1111-1111, 4111111111111111."),
+        (2, "Mr LOW again, Lowland stays, and 4111111111111112"), (3, "Госпожа Анна Иванова"), (4, None), (5, "no such thing 12 3.5, Low"), (None, "7.7.7.7"), (6, ""),
     ]
     got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
-    one, two = got[1].text, got[2].text
-    for real in ("Ada", "Low", "ada.low7", "555-7713", "97.51", "4111"):
-        assert real not in one + two
-    m = re.fullmatch(r"Ms\. (\w+na) (\w+) and Mr (\w+): ([a-z]{3}\.[a-z]{3}\d@[a-z]{4}\d\.[a-z]{7}\.com), \+1 \(\d{3}\) \d{3}-\d{4}, (\d+\.){3}\d+, \d{16}\.", one)
-    assert m and m[2] == m[3] and two.startswith(f"Mr {m[2]} again")
-
-    def luhn(n):
-        ds = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(n))]
-        return sum(x - 9 * (x > 9) for x in ds) % 10
-
-    assert luhn(re.search(r"\d{16}", one)[0]) == 0 and luhn(re.search(r"\d{16}", two)[0]) == 1
-    assert re.fullmatch(r"Госпожа [А-Я][а-я]+на [А-Я][а-я]+", got[3].text)
-    assert got[4].text is None and got[5].text == rows[4][1] and got[None].text != "7.7.7.7"
-    assert got[1].n_entities == 6 and got[4].n_entities == 0
-
-
-def test_pii_is_distinct_and_keyed(spark):
-    df = spark.createDataFrame([(i, f"10.{i // 250}.{i % 250}.9") for i in range(1000)], "doc_id long, text string")
-    a = [r.text for r in pii.replace(df, "a").collect()]
-    assert len(set(a)) == 1000 and not set(a) & {r.text for r in df.collect()}
-    assert a != [r.text for r in pii.replace(df, "b").collect()]
+    m = re.fullmatch(r"Ms\. (\w+a) (\w+) and Mr (\w+) met (\w+): (\S+), (\S+), (.{17}), (\+1\d{10}), (.{19}), (.{19}), (\d{16})\.", got[1].text)
+    assert m and m[2] == m[3] == m[4] and m[5] == m[6].lower() and m[6][:3].isupper() and m[2] != "Low" and m[1] != "Anna"
+    plain = lambda x: re.sub("[^0-9]", "", x)
+    assert plain(m[7]) == plain(m[8]) and plain(m[9]) == plain(m[10]) == m[11] and plain_luhn(m[11]) == 0
+    assert got[2].text.startswith(f"Mr {m[2].upper()} again, Lowland stays") and plain_luhn(got[2].text[-16:]) == 1
+    assert re.fullmatch(r"Госпожа [А-Я][а-я]+а [А-Я][а-я]+а", got[3].text) and "Анна" not in got[3].text
+    assert got[4].text is None and got[5].text == rows[4][1] and got[None].text != "7.7.7.7" and got[6].text == ""
+    assert [got[k].n_entities for k in (1, 2, 4, 5)] == [10, 2, 0, 0]
+
+
+def test_pii_full_forms_stay_distinct(spark):
+    from string import ascii_lowercase as abc
+
+    rows = [(k, f"{a}@{b}.co") for k, (a, b) in enumerate((a, b) for a in abc for b in abc)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.replace(df, "a").collect()}
+    assert set(new.values()) == {t for _, t in rows} and all(new[k] != t for k, t in rows)
+    assert new != {r.doc_id: r.text for r in pii.replace(df, "b").collect()}
+    with pytest.raises(ValueError):
+        pii.replace(df, "")
 
 
 def test_pii_odd(spark):
     out = pii.replace(odd(spark), "k")
+    assert out.columns == [*odd(spark).columns, "n_entities"]
     assert out.count() == 14 and out.where("text is null").count() == 2
     assert pii.replace(empty(spark), "k").count() == 0
 
