@@ -45,9 +45,9 @@ PATTERN = "|".join((EMAIL, IPV4, CARD, PHONE, NAMED))
 HINT = f"[0-9@]|{MALE}|{FEMALE}"
 #: Lengths of country codes: those of one and two digits; all others have three.
 _CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
-# Digits, then vowels and consonants of Latin, wide Latin, Cyrillic and Greek, then Hebrew and Arabic letters.
+# Digits, then vowels and consonants of Latin, wide Latin, Cyrillic (with its signs) and Greek, then Hebrew and Arabic letters.
 ALPHABETS = (
-    "0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿāăąēęěīōőœūůű", "çñćčďđğłńňřśşšťźżž", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь",
+    "0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿāăąēęěīōőœūůű", "çñćčďđğłńňřśşšťźżž", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "ъь",
     "αεηιουω", "βγδζθκλμνξπρστφχψ", "אבגדהוזחטיכלמנסעפצקרשת", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
 )
 
