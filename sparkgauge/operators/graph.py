@@ -8,6 +8,26 @@ from pyspark.sql import functions as F
 from sparkgauge.checkpoints import cut, few
 
 
+#: A key is hot with this many rows and more than this share of all rows, so there are at most HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 256, 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, narrow: DataFrame | None = None) -> DataFrame:
+    """The inner join on ``key`` of ``left``, of about ``rows`` rows, with ``right``, of few rows a key.
+
+    ``narrow`` has the rows of ``left`` with some of its columns, for counting keys at less cost.
+
+    Rows of a hot key of ``left`` are dealt to as many tasks as they need, and the rows of
+    ``right`` for it are repeated there. Only the hot keys are broadcast, HOT_SHARE at most.
+    """
+    least, narrow = max(HOT_ROWS, rows // HOT_SHARE), left if narrow is None else narrow
+    hot = narrow.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least).select(key, F.ceil(F.col("__n") / least).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__part", F.pmod(F.xxhash64(*narrow.columns), parts).cast("int")).drop("__parts")
+    repeated = right.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(repeated, [key, "__part"]).drop("__part")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label every node of an undirected edge table with the smallest node it reaches.
 
@@ -19,7 +39,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     node's larger neighbours to its smallest neighbour, the second links all smaller
     neighbours to it, so long paths shrink by a factor each round and no node ever
     collects more links than it had. Each round is one shuffle and aggregates before it;
-    neighbourhoods are never gathered in one row.
+    neighbourhoods are never gathered in one row, nor the links of a hub in one task.
     """
     clean = edges.select("u", "v").where(F.col("u").isNotNull() & F.col("v").isNotNull())
     alone = clean.where("u = v").select(F.col("u").alias("node")).distinct()
@@ -31,10 +51,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large step: every neighbour above a node is linked to the node's minimum
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = few(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), rows).distinct()
+        large = few(spread_join(both, low, "u", 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), rows).distinct()
         # small step: a node and its neighbours below it are linked to their minimum
         low = few(large, rows).groupBy("u").agg(F.min("v").alias("m"))
-        small = few(large, rows).join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = spread_join(few(large, rows), low, "u", rows).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v")
         links = cut(few(small, rows).distinct())
         now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         rows = now[0]

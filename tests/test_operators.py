@@ -196,3 +196,17 @@ def test_whole_texts_and_all_languages(spark):
             assert got[x.doc_id] == pytest.approx(f1(x.text or "", (x.text or "")[39:]), abs=1e-5), x.doc_id
     tasks = {x.task: x.n for x in queries()["E1_evaluate_languages"](spark, sf).collect()}
     assert tasks == Counter(x.lang for x in docs)
+
+
+def test_spread_join_deals_a_hub(spark):
+    from sparkgauge.operators.graph import HOT_ROWS, spread_join
+
+    left = spark.range(5000).select((F.when(F.col("id") < 4000, 7).otherwise(F.col("id"))).alias("u"), F.col("id").alias("v"))
+    right = left.groupBy("u").agg(F.min("v").alias("m"))
+    got = spread_join(left, right, "u", 5000)
+    assert got.count() == 5000 and got.where("u = 7").agg(F.max("m")).first()[0] == 0
+    star = spark.range(1, 20_000).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    found = connected_components(star)
+    assert found.count() == 20_000 and found.where("component <> 0").count() == 0
+    sizes = [x.n for x in spread_join(star, star.select("u").distinct().withColumn("m", F.lit(0)), "u", 20_000).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert HOT_ROWS < 20_000 and max(sizes) < 20_000
