@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sparkgauge.checkpoints import cut
 from sparkgauge.llm import kernels as K
-from sparkgauge.operators.graph import connected_components
+from sparkgauge.operators.graph import connected_components, spread_join
 
 SHINGLE = 5
 COORDINATES, ROWS, MATCHES = 24, 3, 4
@@ -100,7 +100,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = F.size(F.array_intersect("su", "sv"))
     fits = 100 * both >= percent * (F.size("su") + F.size("sv") - both)
     near = (100 * F.least(F.size("su"), F.size("sv")) >= percent * F.greatest(F.size("su"), F.size("sv"))) & (F.size(_agree("cu", "cv")) >= MATCHES)
-    return pairs.join(left, "u").join(right, "v").where(near).where(fits).select("u", "v").distinct()
+    pairs = cut(pairs, 250_000)  # a centre's members are dealt to many tasks, and its set is repeated there
+    return spread_join(pairs.join(left, "u"), right, "v", pairs.count(), pairs).where(near).where(fits).select("u", "v").distinct()
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
