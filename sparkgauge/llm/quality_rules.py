@@ -5,7 +5,8 @@ is counted from all texts (raw), one from trusted texts (target). A text's score
 mean over its n-grams of log target - log raw, and a text is kept from ``THRESHOLD`` on.
 All work is done by SQL functions; the counted table has ``BUCKETS`` rows whatever the
 input, so it travels to the second pass as one literal array. Raw counts come from a plain
-scan; trusted texts are found by a semi-join, whose plan Spark chooses by the labels' size.
+scan. Trusted texts are found by a merge join, the same at all sizes: the labels grow with
+the corpus, so they are not broadcast, and the texts are shuffled once for it.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("of", F.lit(name))
 
     counts = {"raw": [1] * BUCKETS, "target": [1] * BUCKETS}
-    for r in counted(texts, "raw").unionByName(counted(texts.join(trusted, "id", "left_semi"), "target")).collect():  # at most 2 * BUCKETS rows
+    for r in counted(texts, "raw").unionByName(counted(texts.join(trusted.hint("merge"), "id", "left_semi"), "target")).collect():  # at most 2 * BUCKETS rows
         counts[r.of][r.bucket] += r.n
     shift = math.log(sum(counts["raw"])) - math.log(sum(counts["target"]))
     return [math.log(t) - math.log(r) + shift for t, r in zip(counts["target"], counts["raw"], strict=True)]
