@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkgauge.functions.text import json_valid
 
 
 def _longs(*names: str) -> T.StructType:
@@ -149,11 +150,14 @@ def choice_of(response: pd.Series, texts: pd.Series, seed: pd.Series) -> pd.Seri
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def open_numbers(c: pd.Series) -> pd.Series:
-    """The numbers of a text (with thousands commas, scientific or plain), rounded to two places."""
-    found = re.compile(r"-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?")
-    return c.map(lambda x: [f"{round(float(n.replace(',', '')), 2):g}" for n in found.findall(x or "")])
+# Numbers with thousands commas, in scientific notation, and plain ones, in the order in which answers list them.
+NUMBER_PATTERNS = (r"-?\b\d{1,3}(?:,\d{3})+\b", r"-?\d+(?:\.\d+)?[eE][+-]?\d+", r"-?(?:\d+\.\d+|\.\d+|\d+\b)(?![eE][+-]?\d+)(?![,\d])")
+
+
+def open_numbers(c: Column) -> Column:
+    """The numbers of a text as doubles rounded to two places: those with commas, then scientific, then plain ones."""
+    found = F.concat(*(F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in NUMBER_PATTERNS))
+    return F.transform(found, lambda n: F.round(F.replace(n, F.lit(",")).cast("double"), 2))
 
 
 @F.pandas_udf(_longs("hit", "predicted", "wanted"))
@@ -212,6 +216,23 @@ def instruction_checks(response: Column) -> dict[str, Column]:
     }
 
 
+def keyword_checks(response: Column, keywords: list[str], letter: str, sections: str, choices: list[str], first_word: str, end: str, prompt: Column) -> dict[str, Column]:
+    """Checks of instruction following that have parameters: words, letters, sections, fixed answers, first and last words, JSON, the repeated prompt."""
+    low, trimmed = F.lower(response), F.trim(response)
+    count = lambda pattern: F.size(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)))
+    fence = F.trim(F.regexp_replace(F.regexp_replace(trimmed, r"(?i)^```(?:json)?", ""), "```$", ""))
+    paragraphs = F.filter(F.split(response, r"\n\n"), lambda x: F.trim(x) != "")
+    first = F.regexp_extract(F.lower(F.trim(F.coalesce(F.get(paragraphs, F.lit(0)), F.lit("")))), r"^['\"]*([^\s.,?!'\"]*)", 1)
+    return {
+        "keyword_all": F.forall(F.array(*map(F.lit, keywords)), lambda k: F.contains(low, F.lower(k))), "keyword_count": count(re.escape(keywords[0].lower())),
+        "forbidden_absent": ~low.rlike("|".join(rf"\b{re.escape(k.lower())}\b" for k in keywords)), "letter_count": F.length(low) - F.length(F.replace(low, F.lit(letter.lower()))),
+        "n_sections": F.size(F.split(response, rf"\s?{re.escape(sections)}\s?\d+\s?")) - 1, "constrained": F.exists(F.array(*map(F.lit, choices)), lambda x: F.contains(trimmed, x)),
+        "first_word": first == first_word.lower(), "ends_with": F.endswith(F.lower(F.trim(F.regexp_replace(trimmed, '^"|"$', ""))), F.lit(end.lower())),
+        "json_format": json_valid(fence), "repeats_prompt": F.startswith(F.lower(trimmed), F.lower(F.trim(prompt))),
+        "n_sentences": F.size(F.filter(F.split(response, r"(?<=[.!?])\s+"), lambda x: x.rlike(r"\w"))),
+    }
+
+
 def loosened(response: Column) -> Column:
     """The eight loose variants: as it is or without stars, and without the first line, the last or both."""
     lines = F.split(response, "\n")

@@ -35,8 +35,7 @@ def select_tokens(tokens: DataFrame, edges: DataFrame, events: DataFrame, width:
 
     tokens (node, emb), edges (u, v), events (node). Components go by falling cohesion; of
     each, the ceil(size * bound) least central tokens are dropped unless they are events,
-    until a component would take the share of dropped tokens over ``bound``. The running
-    total is a fold over one row for each component, in order.
+    until a component would take the share of dropped tokens over ``bound``.
     """
     comp = connected_components(edges).where(F.col("node").isNotNull())
     members = cut(tokens.join(comp, "node"))
@@ -46,14 +45,11 @@ def select_tokens(tokens: DataFrame, edges: DataFrame, events: DataFrame, width:
     picked = ranked.withColumn("away", (F.row_number().over(last) <= F.col("m")) & F.col("event").isNull())
     loss = picked.groupBy("component").agg(F.sum(F.col("away").cast("int")).alias("loss"), F.first("m").alias("m")).join(groups, "component")
     total = tokens.count()
-    order = F.array_sort(F.collect_list(F.struct((-F.col("cohesion")).alias("k"), "component", "loss", "m")))
-    start = F.struct(F.lit(0).cast("long").alias("gone"), F.lit(False).alias("stop"), F.array().cast("array<bigint>").alias("taken"))
-
-    def fold(a, c):
-        stop = a["stop"] | ((a["gone"] + c["m"]) / float(max(total, 1)) > bound)
-        return F.struct((a["gone"] + F.when(stop, 0).otherwise(c["loss"])).alias("gone"), stop.alias("stop"), F.when(stop, a["taken"]).otherwise(F.array_append(a["taken"], c["component"].cast("long"))).alias("taken"))
-
-    taken = loss.agg(F.aggregate(order, start, fold, lambda a: a["taken"]).alias("taken")).select(F.explode("taken").alias("component"))
+    # running totals over one narrow row a component; nothing is gathered in one row
+    ranked_ = W.orderBy((-F.col("cohesion")).asc(), "component")
+    before = F.coalesce(F.sum("loss").over(ranked_.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    over = loss.select("component", ((before + F.col("m")) / float(max(total, 1)) > bound).alias("over"), "cohesion")
+    taken = over.withColumn("stop", F.max("over").over(ranked_.rowsBetween(W.unboundedPreceding, 0))).where("not stop").select("component")
     gone = picked.where("away").join(taken, "component").select("node", F.lit(True).alias("gone"))
     return tokens.select("node").join(gone, "node", "left").select("node", F.coalesce("gone", F.lit(False)).alias("dropped"))
 

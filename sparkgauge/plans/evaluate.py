@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkgauge.checkpoints import cut
 from sparkgauge.functions.filters import pipeline
 from sparkgauge.functions.metrics import mean_stderr, pooled_stderr, weighted_mean
 from sparkgauge.plans.requests import doc_to, repeats, shard_limit
@@ -63,16 +64,17 @@ def requests_of(task: Task) -> DataFrame:
 
 
 def evaluate(spark: SparkSession, tasks: list[Task], respond: str | Callable[[DataFrame], DataFrame], groups: dict[str, list[str]] | None = None) -> Result:
-    """Samples, task results and group results as lazy tables.
+    """Samples, task results and group results.
 
-    ``respond`` takes requests (task, doc_id, ctx, target, rep) and adds ``response``. All
-    filters read the same responses, and all metrics of a task come from one aggregation.
+    ``respond`` takes requests (task, doc_id, ctx, target, rep) and adds ``response``. It is
+    asked once for each request: the responses are written to the checkpoint folder, and all
+    filters and results read them there. All metrics of a task come from one aggregation.
     """
     responder = RESPONDERS.find(respond) if isinstance(respond, str) else respond
     frames = []
     for task in tasks:
         answered = responder(requests_of(task)).groupBy("task", "doc_id").agg(F.first("target").alias("target"), F.array_sort(F.collect_list(F.struct("rep", "response"))).alias("r"))
-        answered = answered.select("task", "doc_id", "target", F.col("r.response").alias("resps"))
+        answered = cut(answered.select("task", "doc_id", "target", F.col("r.response").alias("resps")))
         for name, steps in task.filters.items():
             got = pipeline(steps)(F.col("resps"))
             kept = answered.withColumn("filtered", got)

@@ -194,7 +194,7 @@ def test_whole_texts_and_all_languages(spark):
     for x in docs:
         if (x.text or "").isascii():
             assert got[x.doc_id] == pytest.approx(f1(x.text or "", (x.text or "")[39:]), abs=1e-5), x.doc_id
-    tasks = {x.task: x.n for x in queries()["E1_evaluate_languages"](spark, sf).collect()}
+    tasks = {x.task: x.n for x in queries()["E1_evaluate"](spark, sf).collect()}
     assert tasks == Counter(x.lang for x in docs)
 
 
@@ -210,3 +210,32 @@ def test_spread_join_deals_a_hub(spark):
     assert found.count() == 20_000 and found.where("component <> 0").count() == 0
     sizes = [x.n for x in spread_join(star, star.select("u").distinct().withColumn("m", F.lit(0)), "u", 20_000).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert HOT_ROWS < 20_000 and max(sizes) < 20_000
+
+
+def test_a_responder_is_asked_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def respond(requests):
+        def run(batches):
+            for b in batches:
+                asked.add(len(b))
+                yield b.assign(response=b["ctx"])
+
+        return requests.mapInPandas(run, "task string, doc_id long, ctx string, target string, rep int, response string")
+
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("a").alias("target"))
+    three = {"none": [("take_first",)], "low": [("lowercase",), ("take_first",)], "re": [("regex", {"pattern": "a"}), ("take_first",)]}
+    out = evaluate(spark, [Task("t", docs, "text", "target", filters=three, repeats=2)], respond)
+    assert out.samples.count() == 30 and {r.filter_name: r.value for r in out.task_results.collect()} == {"none": 0.0, "low": 0.0, "re": 1.0} and out.group_results.count() == 3
+    assert asked.value == 20
+
+
+def test_numbers_and_instruction_checks(spark):
+    for said in ("x 1,234,567 y 1234567.891 .5 7", "-2.5e3 and 123456.78", "none", "12% of 3.0001, 4."):
+        assert one(spark, C.open_numbers(F.lit(said))) == [round(float(x.replace(",", "")), 2) for p in C.NUMBER_PATTERNS for x in re.findall(p, said)]
+    assert one(spark, C.open_numbers(F.lit("so 1234567.89 it is"))) == [1234567.89]
+    text = "The cat.\n\nSECTION 1 a dog! SECTION 2 end."
+    got = C.keyword_checks(F.lit(text), ["cat", "dog"], "t", "SECTION", ["My answer is yes."], "the", "END.", F.lit("the cat"))
+    want = {"keyword_all": True, "keyword_count": 1, "forbidden_absent": False, "letter_count": 4, "n_sections": 2, "constrained": False, "first_word": True, "ends_with": True, "json_format": False, "repeats_prompt": True, "n_sentences": 3}
+    assert {k: one(spark, v) for k, v in got.items()} == want
+    assert one(spark, C.keyword_checks(F.lit('```json\n{"a": 1}\n```'), ["a"], "a", "S", ["x"], "a", "b", F.lit("z"))["json_format"])
