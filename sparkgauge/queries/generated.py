@@ -75,7 +75,7 @@ def _(s, d):
 @query("X12_open_numbers", "SELECT p_partkey, 5::BIGINT AS n, round(1234567 + 567 + 1234567.57 + 0.25 + p_retailprice, 2) AS total FROM part")
 def _(s, d):
     """A number with commas counts as a whole and, by the plain pattern, with its last group again."""
-    said = F.concat(F.lit("about 1,234,567 and 1234567.568, .25 or "), F.format_string("%.2f", "p_retailprice"))
+    said = F.concat(F.lit("about 1,234,567 and 1234567.568 then .25 or "), F.format_string("%.2f", "p_retailprice"))
     found = table(s, d, "part").select("p_partkey", C.open_numbers(said).alias("found"))
     return found.select("p_partkey", F.size("found").cast("long").alias("n"), F.round(F.aggregate("found", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
 
