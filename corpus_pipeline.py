@@ -47,7 +47,7 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are no copies, but for repeated rows. An empty table gives an empty
     result.
     """
-    dropped = near_dup.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
+    dropped = cut(near_dup.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct())
     left = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
     again = docs.groupBy(F.col("doc_id").alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again")
     same = F.col("doc_id").eqNullSafe(F.col("__again"))
