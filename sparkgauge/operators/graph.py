@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkgauge.checkpoints import cut, few
 
 
-#: A key is hot with this many rows and more than this share of all rows, so there are at most HOT_SHARE hot keys.
-HOT_ROWS, HOT_SHARE = 256, 1000
+#: A key is hot with more than this many rows and more than this share of all rows, so there are at most HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 2000, 1000
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, narrow: DataFrame | None = None) -> DataFrame:
@@ -18,13 +19,18 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, narrow:
     ``narrow`` has the rows of ``left`` with some of its columns, for counting keys at less cost.
 
     Rows of a hot key of ``left`` are dealt to as many tasks as they need, and the rows of
-    ``right`` for it are repeated there. Only the hot keys are broadcast, HOT_SHARE at most.
+    ``right`` for it are repeated there. Only the hot keys reach the driver and are
+    broadcast, HOT_SHARE at most; without any the join is a plain one.
     """
     least, narrow = max(HOT_ROWS, rows // HOT_SHARE), left if narrow is None else narrow
-    hot = narrow.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > least).select(key, F.ceil(F.col("__n") / least).cast("int").alias("__parts"))
+    counted = narrow.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).collect()
+    if not counted:
+        return left.join(right, key)
+    kind = T.StructType([T.StructField(key, narrow.schema[key].dataType), T.StructField("__parts", T.IntegerType())])
+    hot = F.broadcast(left.sparkSession.createDataFrame([(r[0], -(-r[1] // least)) for r in counted], kind))
     parts = F.coalesce("__parts", F.lit(1))
-    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__part", F.pmod(F.xxhash64(*narrow.columns), parts).cast("int")).drop("__parts")
-    repeated = right.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    dealt = left.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(*narrow.columns), parts).cast("int")).drop("__parts")
+    repeated = right.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     return dealt.join(repeated, [key, "__part"]).drop("__part")
 
 
