@@ -105,6 +105,25 @@ def question_choices(question: Column) -> Column:
     return F.regexp_extract_all(question, F.lit(r"\b[A-Z]\.\s+([^\n]*)"), F.lit(1))
 
 
+@FILTERS.register("simple_multi_choice")
+def simple_multi_choice(question: Column) -> Callable[[Column], Column]:
+    """Per response, without signs, the letter of the choice of ``question`` that stands first in it, else the response.
+
+    Choices are lettered in their order; of equal ones the last letter counts.
+    """
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+    def one(x: Column) -> Column:
+        bare = strip(F.regexp_replace(x, r"(?U)[^\w\s]", ""))
+        choices = F.transform(question_choices(question), strip)
+        spots = F.transform(choices, lambda c, i: F.struct(F.instr(bare, c).alias("at"), i.alias("i"), c.alias("c")))
+        first = F.array_min(F.filter(spots, lambda s: s["at"] > 0))
+        last = F.size(choices) - F.array_position(F.reverse(choices), first["c"])
+        return F.when(first.isNotNull(), F.chr(F.lit(65) + last)).otherwise(bare)
+
+    return lambda r: F.transform(r, one)
+
+
 def pipeline(steps: list[tuple]) -> Callable[[Column], Column]:
     """A chain of (name, keyword arguments) steps from the registry."""
     made = [FILTERS.find(name)(**(args[0] if args else {})) for name, *args in steps]

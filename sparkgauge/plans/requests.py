@@ -53,6 +53,22 @@ def few_shot(docs: DataFrame, shots: DataFrame, delimiter: str) -> DataFrame:
     return docs.join(F.broadcast(every), F.lit(True)).select("doc_id", F.array_join(F.concat(F.transform(own, lambda x: x["shot"]), F.array("ctx")), delimiter).alias("ctx"))
 
 
+def random_shots(docs: DataFrame, shots: DataFrame, n: int, delimiter: str, seed: str = "", most: int = 1000) -> DataFrame:
+    """``ctx`` behind ``n`` shots drawn for each document by hashed order, never its own one.
+
+    The draw depends on the seed, the document and the shot alone. Shots are repeated in every
+    task, so more than ``most`` of them are an error. With fewer than ``n``, all are taken.
+    """
+    if shots.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} shots to draw from")
+    every = shots.agg(F.collect_list(F.struct("shot_id", "shot")).alias("shots"))
+    own = F.filter("shots", lambda x: ~x["shot_id"].eqNullSafe(F.col("doc_id")))
+    rank = lambda x: F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), x["shot_id"].cast("string")))
+    drawn = F.slice(F.array_sort(F.transform(own, lambda x: F.struct(rank(x).alias("rank"), x["shot_id"], x["shot"]))), 1, n)
+    texts = F.concat(F.transform(drawn, lambda x: x["shot"]), F.array("ctx"))
+    return docs.join(F.broadcast(every), F.lit(True)).select("doc_id", F.array_join(texts, delimiter).alias("ctx"))
+
+
 def replay(requests: DataFrame, log: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Requests with the responses of a log."""
     return requests.join(log, list(keys))
@@ -82,6 +98,31 @@ def chunks(array: Column, size: int) -> Column:
     return F.when(F.size(array) > 0, F.transform(F.sequence(F.lit(0), F.ceil(F.size(array) / size).cast("int") - 1), lambda i: F.slice(array, i * size + 1, F.lit(size))))
 
 
+def rolling_windows(tokens: Column, prefix: Column, size: int, context: int) -> Column:
+    """Structs (input, pred) of windows that predict each token once.
+
+    The first window predicts ``size`` tokens behind ``prefix``; each further one predicts up
+    to ``size - context + 1`` tokens from ``size`` inputs. No tokens give no windows.
+    """
+    if not 1 <= context <= size:
+        raise ValueError("context must be between 1 and the window's size")
+    step, n = size - context + 1, F.size(tokens)
+    first = F.array(F.struct(F.concat(F.array(prefix), F.slice(tokens, 1, F.least(F.lit(size), F.greatest(n, F.lit(1))) - 1)).alias("input"), F.slice(tokens, 1, F.lit(size)).alias("pred")))
+
+    def later(at: Column) -> Column:
+        end = F.least(at + step, n)
+        return F.struct(F.slice(tokens, end - size, F.lit(size)).alias("input"), F.slice(tokens, at + 1, end - at).alias("pred"))
+
+    rest = F.when(n > size, F.transform(F.sequence(F.lit(size), F.greatest(n - 1, F.lit(size)), F.lit(step)), later)).otherwise(F.slice(first, 1, 0))
+    return F.when(n > 0, F.concat(first, rest)).otherwise(F.slice(first, 1, 0))
+
+
+def disjoint(window: Column) -> Column:
+    """The window with its input cut where its predicted tokens begin."""
+    a, b = window["input"], window["pred"]
+    return F.struct(F.slice(a, F.lit(1), F.size(a) - F.size(b) + 1).alias("input"), b.alias("pred"))
+
+
 def uniform_sample(total: Column, n: int) -> Column:
     """``n`` evenly spread positions below ``total``, the last one included."""
     if n == 1:

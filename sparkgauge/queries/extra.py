@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkgauge.functions import filters as R
+from sparkgauge.functions import metrics as M
 from sparkgauge.functions import overlap as O
 from sparkgauge.functions.vector import cosine
 from sparkgauge.operators.spectral import nearest_edges, spectral
+from sparkgauge.plans import requests as Q
 from sparkgauge.queries.generated import R6, pairs
 from sparkgauge.queries.graphs import _S, TAU, R4, edges, similar
 from sparkgauge.registry import query, table
@@ -151,3 +154,68 @@ def _(s, d):
     x = similar(s, d).select("label", "vec_id", F.round("sim", 6).alias("sim"), F.coalesce(F.col("sim") < 0, F.lit(False)).alias("event"))
     x = x.withColumn("k", F.row_number().over(w.orderBy(F.desc("event"), F.desc_nulls_last("sim"), "vec_id"))).withColumn("n", F.count(F.lit(1)).over(w))
     return x.where(F.col("event") | (F.col("k") <= F.ceil(F.col("n") * 0.3))).select("label", "vec_id", "event")
+
+
+_WORDS = "SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL"
+
+
+@query("W5_W6_rolling_windows", f"""WITH d AS ({_WORDS}), x AS (
+  SELECT doc_id, w, len(w) AS n, unnest(list_concat([0], range(64, len(w), 57))) AS lo FROM d
+), y AS (SELECT *, CASE WHEN lo = 0 THEN least(64, n) ELSE least(lo + 57, n) END AS stop FROM x)
+SELECT doc_id, lo::BIGINT AS first, array_to_string(CASE WHEN lo = 0 THEN ['<s>'] ELSE w[stop - 64:lo] END, ' ') AS context, array_to_string(w[lo + 1:stop], ' ') AS pred FROM y""")
+def _(s, d):
+    windows = Q.rolling_windows(F.split("text", " "), F.lit("<s>"), 64, 8)
+    each = table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.transform(windows, Q.disjoint)).alias("k", "w"))
+    first = F.when(F.col("k") == 0, 0).otherwise(64 + (F.col("k") - 1) * 57).cast("long")
+    return each.select("doc_id", first.alias("first"), F.array_join("w.input", " ").alias("context"), F.array_join("w.pred", " ").alias("pred"))
+
+
+@query("R8_random_shots", """WITH r AS (
+  SELECT p_partkey AS doc_id, p_name, n_name, row_number() OVER (PARTITION BY p_partkey ORDER BY md5(concat_ws('|', '7', p_partkey, n_nationkey)), n_nationkey) AS k FROM part, nation WHERE n_nationkey <> p_partkey)
+SELECT doc_id, string_agg(n_name, ';' ORDER BY k) || ';' || min(p_name) AS ctx FROM r WHERE k <= 3 GROUP BY doc_id""")
+def _(s, d):
+    docs = table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("ctx"))
+    shots = table(s, d, "nation").select(F.col("n_nationkey").alias("shot_id"), F.col("n_name").alias("shot"))
+    return Q.random_shots(docs, shots, 3, ";", "7")
+
+
+@query("S7_drop_column", "SELECT * EXCLUDE (embedding) FROM embeddings")
+def _(s, d):
+    return table(s, d, "embeddings").drop("embedding")
+
+
+@query("F6_simple_multi_choice", r"""WITH x AS (SELECT p_partkey, p_name, p_type, trim(regexp_replace(unnest(['It is ' || p_type || '.', p_name || ', not ' || p_type, '#' || p_brand]), '[^\w\s]', '', 'g')) AS c, unnest([1, 2, 3]) AS k FROM part)
+SELECT p_partkey, string_agg(CASE WHEN contains(c, p_name) AND NOT (contains(c, p_type) AND strpos(c, p_type) < strpos(c, p_name)) THEN 'A' WHEN contains(c, p_type) THEN 'B' ELSE c END, '|' ORDER BY k) AS answers FROM x GROUP BY p_partkey""")
+def _(s, d):
+    q = F.concat(F.lit("Pick\nA. "), F.col("p_name"), F.lit("\nB. "), F.col("p_type"))
+    said = F.array(F.concat(F.lit("It is "), F.col("p_type"), F.lit(".")), F.concat(F.col("p_name"), F.lit(", not "), F.col("p_type")), F.concat(F.lit("#"), F.col("p_brand")))
+    return table(s, d, "part").select("p_partkey", F.array_join(R.simple_multi_choice(q)(said), "|").alias("answers"))
+
+
+@query("A15_max_over_truths", "SELECT p_partkey, round(greatest(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type))::DOUBLE, 1 - levenshtein(p_name, p_brand) / greatest(length(p_name), length(p_brand))::DOUBLE), 6) AS best FROM part")
+def _(s, d):
+    near = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+    return table(s, d, "part").select("p_partkey", R6(M.max_over_truths(near, F.col("p_name"), F.array("p_type", "p_brand"))).alias("best"))
+
+
+_CLASSES = "SELECT p_size % 5 AS g, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 5 ELSE p_size % 5 END AS p FROM part"
+
+
+@query("A8_matthews_classes", f"""WITH x AS ({_CLASSES}), c AS (SELECT k, count(*) FILTER (side = 0)::DOUBLE AS t, count(*) FILTER (side = 1)::DOUBLE AS p FROM (SELECT g AS k, 0 AS side FROM x UNION ALL SELECT p, 1 FROM x) GROUP BY k),
+s AS (SELECT sum(t * p) AS tp, sum(t * t) AS tt, sum(p * p) AS pp FROM c), n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (g = p)::DOUBLE AS r FROM x)
+SELECT round((r * n - tp) / sqrt((n * n - pp) * (n * n - tt)), 6) AS mcc FROM s, n""")
+def _(s, d):
+    x = table(s, d, "part").select((F.col("p_size") % 5).alias("g"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 5).otherwise(F.col("p_size") % 5).alias("p"))
+    return M.matthews_many(x, "g", "p").select(R6("mcc").alias("mcc"))
+
+
+@query("A19_stderr_of_mean", "SELECT round(stddev_samp(p_size) / sqrt(count(*)), 6) AS stderr FROM part")
+def _(s, d):
+    size = F.col("p_size")
+    return M.stderr_for("mean", 200)(table(s, d, "part"), "p_partkey", size, F.avg(size)).select(R6("stderr").alias("stderr"))
+
+
+@query("A19_stderr_of_median")
+def _(s, d):
+    size = F.col("p_size")
+    return M.stderr_for("median", 200)(table(s, d, "part"), "p_partkey", size, M.median(size)).select(R6("stderr").alias("stderr"))

@@ -167,7 +167,7 @@ def _(s, d):
     return Q.run_lengths(e, ["user_id"], "event_id", "v").select("user_id", "event_id", "run")
 
 
-@query("W5_W7_windows", "SELECT doc_id, unnest(list_transform(range(0, ((len(w) + 99) // 100)::BIGINT), lambda i: len(w[i * 100 + 1:i * 100 + 100]))) AS size FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
+@query("W7_chunks", "SELECT doc_id, unnest(list_transform(range(0, ((len(w) + 99) // 100)::BIGINT), lambda i: len(w[i * 100 + 1:i * 100 + 100]))) AS size FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", F.explode(F.transform(Q.chunks(F.split("text", " "), 100), lambda c: F.size(c).cast("long"))).alias("size"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkgauge.functions import corpus as C
 from sparkgauge.functions import filters as R
+from sparkgauge.functions import metrics as M
 from sparkgauge.functions import text as X
 from sparkgauge.operators import selection as G
 from sparkgauge.operators.graph import connected_components
@@ -239,3 +240,45 @@ def test_numbers_and_instruction_checks(spark):
     want = {"keyword_all": True, "keyword_count": 1, "forbidden_absent": False, "letter_count": 4, "n_sections": 2, "constrained": False, "first_word": True, "ends_with": True, "json_format": False, "repeats_prompt": True, "n_sentences": 3}
     assert {k: one(spark, v) for k, v in got.items()} == want
     assert one(spark, C.keyword_checks(F.lit('```json\n{"a": 1}\n```'), ["a"], "a", "S", ["x"], "a", "b", F.lit("z"))["json_format"])
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 9, 10])
+def test_rolling_windows_predict_each_token_once(spark, n):
+    windows = one(spark, Q.rolling_windows(F.slice("t", 1, n), F.lit(-1), 4, 2), t=list(range(10)))
+    assert [x for w in windows for x in w["pred"]] == list(range(n))
+    for k, w in enumerate(windows):
+        assert w["input"][-len(w["pred"]) :] == [x - 1 for x in w["pred"]]
+        assert len(w["input"]) == (min(4, n) if k == 0 else 4)
+    cut = one(spark, F.transform(Q.rolling_windows(F.slice("t", 1, n), F.lit(-1), 4, 2), Q.disjoint), t=list(range(10)))
+    assert all(w["input"][-1] == w["pred"][0] - 1 and not set(w["input"]) & set(w["pred"]) for w in cut)
+
+
+def test_random_shots_leave_out_the_own_one(spark):
+    shots = spark.createDataFrame([(k, f"s{k}") for k in range(6)], "shot_id long, shot string")
+    docs = spark.createDataFrame([(k, "q") for k in range(40)], "doc_id long, ctx string")
+    got = {r.doc_id: r.ctx.split("|") for r in Q.random_shots(docs, shots, 2, "|", "a").collect()}
+    assert all(len(c) == 3 and len(set(c)) == 3 and f"s{k}" not in c for k, c in got.items())
+    assert len({tuple(c) for c in got.values()}) > 10
+    assert got != {r.doc_id: r.ctx.split("|") for r in Q.random_shots(docs, shots, 2, "|", "b").collect()}
+    with pytest.raises(ValueError):
+        Q.random_shots(docs, shots, 2, "|", most=5)
+
+
+def test_simple_multi_choice(spark):
+    question = "Which?\nA. red car\nB. blue\nC. blue"
+    said = ["It's a red car!", "blue, no red car", "green...", ""]
+    assert one(spark, R.simple_multi_choice(F.col("q"))(F.col("r")), q=question, r=said) == ["A", "C", "green", ""]
+    assert one(spark, R.simple_multi_choice(F.col("q"))(F.col("r")), q="none", r=said)[2] == "green"
+
+
+def test_errors_by_name_and_many_classes(spark):
+    df = spark.range(400).select("id", (F.xxhash64("id") % 10).cast("double").alias("v"))
+    by_mean = M.stderr_for("mean", 10)(df, "id", F.col("v"), F.avg("v")).first()[0]
+    again = M.bootstrap_stderr(df, "id", F.avg("v"), 300).first()[0]
+    assert abs(again / by_mean - 1) < 0.2
+    assert M.stderr_for("mean", 0) is None and M.stderr_for("bypass", 10) is None
+    pairs = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (2, 2), (None, 1)], "g int, p int")
+    assert M.matthews_many(pairs, "g", "p").first()[0] == pytest.approx(0.7)
+    assert M.matthews_many(pairs.where("g = 0"), "g", "p").first()[0] == 0.0
+    assert M.matthews_many(pairs.where("false"), "g", "p").first()[0] == 0.0
+    assert one(spark, M.max_over_truths(lambda a, b: (a == b).cast("int"), F.col("x"), F.col("t")), x="b", t=["a", "b"]) == 1
