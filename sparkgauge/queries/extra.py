@@ -11,11 +11,10 @@ from sparkgauge.functions import overlap as O
 from sparkgauge.functions.vector import cosine
 from sparkgauge.operators.spectral import nearest_edges, spectral
 from sparkgauge.plans import requests as Q
-from sparkgauge.queries.generated import R6, pairs
+from sparkgauge.queries.generated import _PAIRS, R6, pairs
 from sparkgauge.queries.graphs import _S, TAU, R4, edges, similar
 from sparkgauge.registry import query, table
 
-_PAIRS = "SELECT p_partkey, p_name AS r, concat_ws(' ', p_name, CASE WHEN p_size % 2 = 0 THEN 'extra' END, p_brand) AS p FROM part"
 _CIDER = f"""
 WITH base AS (
   SELECT p_partkey, list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> '') AS p, list_filter(regexp_split_to_array(r, '\\s+'), lambda w: w <> '') AS r FROM ({_PAIRS})
