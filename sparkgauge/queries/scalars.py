@@ -166,7 +166,7 @@ def _(s, d):
 
 @query("X27_stringify", "SELECT vec_id, list_transform(embedding, lambda x: (round(x * 1000)::BIGINT)::VARCHAR) AS texts FROM embeddings")
 def _(s, d):
-    return table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * 1000).cast("long").cast("string")).alias("texts"))
+    return table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * F.lit(1000).cast("float")).cast("long").cast("string")).alias("texts"))  # in floats, as the SQL
 
 
 @query("X28_polarity", """WITH t AS (SELECT doc_id, (contains(lower(text), 'the'))::INT + (contains(lower(text), 'and'))::INT AS p, (contains(lower(text), 'que'))::INT + (contains(lower(text), 'der'))::INT + (contains(lower(text), 'les'))::INT AS n FROM documents)

@@ -3,6 +3,8 @@
 import math
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from sparkgauge.queries import flagship, oracle_sql, queries
@@ -43,3 +45,20 @@ def test_query(spark, duck, name):
 
 def test_flagship(spark):
     assert flagship(spark, SF).count() == 5
+
+
+def like_sql(spark, name, folder, *tables):
+    """Whether a query gives its SQL's rows on the tables of a folder."""
+    c = duckdb.connect()
+    for t in tables:
+        c.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    df = queries()[name](spark, str(folder))
+    found = c.sql(oracle_sql()[name])
+    at = [found.columns.index(x) for x in df.columns]
+    return sorted((tuple(canon(x) for x in r) for r in df.collect()), key=repr) == sorted((tuple(canon(x[i]) for i in at) for x in found.fetchall()), key=repr)
+
+
+def test_stringify_rounds_floats(spark, tmp_path):
+    """Values whose product with 1000 is a half only in floats, on both sides of zero."""
+    pq.write_table(pa.table({"vec_id": [1, 2, 3, 4], "embedding": pa.array([[0.3195, -0.1335, 0.1925, 0.0005, -0.0005], [], None, [None, 2.5, -1e6]], pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    assert like_sql(spark, "X27_stringify", tmp_path, "embeddings")
