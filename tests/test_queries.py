@@ -62,3 +62,12 @@ def test_stringify_rounds_floats(spark, tmp_path):
     """Values whose product with 1000 is a half only in floats, on both sides of zero."""
     pq.write_table(pa.table({"vec_id": [1, 2, 3, 4], "embedding": pa.array([[0.3195, -0.1335, 0.1925, 0.0005, -0.0005], [], None, [None, 2.5, -1e6]], pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
     assert like_sql(spark, "X27_stringify", tmp_path, "embeddings")
+
+
+def test_range_join_counts_before_joining(spark, tmp_path):
+    """Many events of few places: the join must not make a row for each part and event."""
+    pq.write_table(pa.table({"p_partkey": pa.array(range(2000), pa.int64())}), tmp_path / "part.parquet")
+    pq.write_table(pa.table({"event_id": pa.array([k % 50 + 3000 * (k // 50) for k in range(100_000)] + [-1, None], pa.int64())}), tmp_path / "events.parquet")
+    assert like_sql(spark, "J8_range_join", tmp_path, "part", "events")
+    plan = queries()["J8_range_join"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and plan.index("Join") < plan.rindex("Aggregate")
