@@ -6,10 +6,12 @@ import json
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,15 +47,63 @@ def bleu(df: DataFrame, prediction: str, reference: str, most: int = 4) -> DataF
     return total.select((100 * F.exp(logs + brief)).alias("bleu"))
 
 
+#: Characters of the pairs whose n-grams are counted together; a longer pair stands alone.
+GRAM_CHARS = 1 << 17
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, number of each text's)."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.array([len(t) for t in texts], np.int64)
+
+
+def gram_counts(predictions: list[str], references: list[str], most: int) -> list[tuple[int, int, int]]:
+    """(matched, predicted, wanted) character n-grams of each order, clipped in each pair and summed over the pairs.
+
+    An n-gram is a number: that of its first n - 1 characters and its last one as digits. With the
+    pair before and the side behind it, one sort brings equal ones together.
+    """
+    (a, left), (b, right) = _points(predictions), _points(references)
+    n = np.concatenate([left, right])
+    ends = np.cumsum(n)
+    letters, chars = np.unique(np.concatenate([a, b]), return_inverse=True)
+    chars = chars.astype(np.int64)
+    row = np.repeat(np.tile(np.arange(len(left)), 2), n) * 2 + np.repeat(np.repeat([0, 1], len(left)), n)  # pair, side
+    rest = np.repeat(ends, n) - np.arange(len(chars))  # characters from here to the end of the text
+    at, gram, bound, out = np.arange(len(chars)), np.zeros(len(chars), np.int64), 1, []
+    for k in range(most):
+        ok = rest[at] > k
+        at, gram = at[ok], gram[ok]
+        if bound * max(len(letters), 1) * 2 * max(len(left), 1) >= 1 << 62:
+            found, gram = np.unique(gram, return_inverse=True)
+            bound = max(len(found), 1)
+        gram = gram * len(letters) + chars[at + k]
+        bound *= max(len(letters), 1)
+        key = np.sort(((row[at] >> 1) * bound + gram) * 2 + (row[at] & 1))
+        side, first = key & 1, np.flatnonzero(np.diff(key >> 1, prepend=-1))
+        wanted = np.add.reduceat(side, first) if len(first) else side
+        counts = np.diff(first, append=len(key))
+        out.append((int(np.minimum(wanted, counts - wanted).sum()), int(len(key) - side.sum()), int(side.sum())))
+    return out
+
+
 def chrf(df: DataFrame, prediction: str, reference: str, most: int = 6, beta: float = 2.0) -> DataFrame:
     """Corpus chrF: mean over character n-gram orders of F-beta of the summed counts."""
-    chars = lambda c: F.filter(F.split(F.regexp_replace(c, r"\s", ""), ""), lambda x: x != "")
-    p, r = chars(prediction), chars(reference)
-    parts = []
-    for n in range(1, most + 1):
-        a, b = ngrams(p, n), ngrams(r, n)
-        parts += [clipped(a, b).cast("long").alias(f"m{n}"), F.size(a).cast("long").alias(f"p{n}"), F.size(b).cast("long").alias(f"r{n}")]
-    total = df.select(*parts).agg(*(F.sum(f"{k}{n}").alias(f"{k}{n}") for n in range(1, most + 1) for k in "mpr"))
+    names = [f"{k}{n}" for n in range(1, most + 1) for k in "mpr"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [[x or "" for x in c.to_pylist()] for c in batch.columns]
+            low, size = 0, 0
+            for high in range(1, batch.num_rows + 1):
+                size += len(pairs[0][high - 1]) + len(pairs[1][high - 1])
+                if size >= GRAM_CHARS or high == batch.num_rows:
+                    found = gram_counts(pairs[0][low:high], pairs[1][low:high], most)
+                    yield pa.record_batch([pa.array([x], pa.int64()) for counts in found for x in counts], names=names)
+                    low, size = high, 0
+
+    plain = lambda c, name: F.regexp_replace(c, r"\s", "").alias(name)
+    counts = df.select(plain(prediction, "p"), plain(reference, "r")).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    total = counts.agg(*(F.sum(x).alias(x) for x in names))
     d = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     mean = lambda k: sum((d(f"m{n}", f"{k}{n}") for n in range(1, most + 1)), F.lit(0.0)) / most
     return total.select((100 * F.coalesce(F.try_divide((1 + beta**2) * mean("p") * mean("r"), beta**2 * mean("p") + mean("r")), F.lit(0.0))).alias("chrf"))

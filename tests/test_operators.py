@@ -3,6 +3,8 @@
 import os
 import random
 import re
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -282,3 +284,28 @@ def test_errors_by_name_and_many_classes(spark):
     assert M.matthews_many(pairs.where("g = 0"), "g", "p").first()[0] == 0.0
     assert M.matthews_many(pairs.where("false"), "g", "p").first()[0] == 0.0
     assert one(spark, M.max_over_truths(lambda a, b: (a == b).cast("int"), F.col("x"), F.col("t")), x="b", t=["a", "b"]) == 1
+
+
+def test_chrf_counts_every_gram(spark):
+    r = random.Random(5)
+    alphabets = ["ab", "abcdefgh", "".join(map(chr, range(0x4E00, 0x5400))), "aé漢😀"]
+    text = lambda: "".join(r.choices(r.choice(alphabets), k=r.choice([0, 1, 3, 5, 6, 40, 300])))
+    pairs = [(text(), text()) for _ in range(300)] + [("", ""), ("abcabc", "abcabc")]
+    grams = lambda t, n: Counter(t[i : i + n] for i in range(len(t) - n + 1))
+    want = [tuple(sum(x) for x in zip(*(((a & b).total(), a.total(), b.total()) for a, b in ((grams(p, n), grams(q, n)) for p, q in pairs)), strict=True)) for n in range(1, 9)]
+    assert C.gram_counts(*map(list, zip(*pairs, strict=True)), 8) == want
+    assert C.gram_counts([], [], 2) == [(0, 0, 0)] * 2 == C.gram_counts([""], [""], 2)
+    df = spark.createDataFrame([*pairs, (None, "x"), (None, None)], "p string, r string")
+    precision = sum(m / p for m, p, _ in want[:6]) / 6
+    wanted = [w + (n == 0) for n, (_, _, w) in enumerate(want[:6])]
+    recall = sum(m / w for (m, _, _), w in zip(want, wanted, strict=False)) / 6
+    assert C.chrf(df, "p", "r").first()[0] == pytest.approx(100 * 5 * precision * recall / (4 * precision + recall))
+    assert C.chrf(df.limit(0), "p", "r").first()[0] == 0
+
+
+def test_chrf_is_not_quadratic(spark):
+    r = random.Random(6)
+    df = spark.createDataFrame([("".join(r.choices("abcdefgh ", k=30_000)), "".join(r.choices("abcdefgh ", k=30_000))) for _ in range(4)], "p string, r string")
+    began = time.monotonic()
+    assert 0 < C.chrf(df, "p", "r").first()[0] < 100
+    assert time.monotonic() - began < 30
