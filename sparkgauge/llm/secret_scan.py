@@ -7,13 +7,9 @@ plain ids, by their distance), the marks around it (assignment, quotes, the pass
 of a URL), and features of the file (code, configuration, log or prose, told by its lines),
 alone and together with the shape.
 
-Begin and inside are allowed in *hot* fields. A field is a run without white space; it is
-hot if it has 8 characters or more and letters and digits both, ten digits or more, or two
-changes from lower to upper case, or if it has 5 letters or digits and stands within three
-fields after a cue on its line. A token elsewhere is a plain word without a cue: there the
-trained weights leave begin no chance, which the tests hold by decoding all tokens. A
-text's best path falls apart at tokens that can only be outside, so each window around hot
-fields is decoded by itself, and the result is that of Viterbi over the whole text.
+All tokens of a text are decoded, as one chain (``Decoder``). ``tagged_spans`` is the plain
+form of the same, one token at a time; its *hot* ranges (``candidates``, ``cued``), to which
+the field was once confined, serve comparisons in the tests only.
 
 Nobody has labelled secrets here, so the model is fitted on generated files of four kinds
 with known secrets and look-alikes, from a fixed seed.
@@ -80,11 +76,46 @@ def _shape(token: str) -> tuple[float, ...]:
     return tuple(map(float, marks))
 
 
-SHAPE, LETTERS, ALL_DIGITS, HEX = len(_shape("a")), 10, 14, 24
+SHAPE, LETTERS, ALL_DIGITS, HEX, SECRET_WORD, PLAIN_WORD = len(_shape("a")), 10, 14, 24, 26, 27
 FILES, CUES = 4, 18
 WIDTH = 1 + 3 * SHAPE + CUES + FILES * 5
 
 
+def _shapes(tokens: list[str]) -> np.ndarray:
+    """``_shape`` of each token; those of several characters, all ASCII letters and digits, as arrays."""
+    out = np.zeros((len(tokens), SHAPE))
+    many = []
+    for k, x in enumerate(tokens):
+        if len(x) > 1:
+            many.append(k)
+        else:
+            out[k] = _shape(x)
+    if not many:
+        return out
+    words = [tokens[k] for k in many]
+    raw = np.frombuffer("".join(words).encode("ascii"), np.uint8)
+    n = np.array([len(x) for x in words], np.int64)
+    first = np.cumsum(n) - n
+    own = np.repeat(np.arange(len(words)), n)
+    up, low, digit = (raw >= 65) & (raw < 91), (raw >= 97) & (raw < 123), raw < 58
+    count = lambda hits: np.add.reduceat(hits.astype(np.int64), first)
+    flip = np.concatenate([[False], low[:-1] & up[1:]])
+    flip[first] = False
+    digits, lower, upper, flips = count(digit), count(low), count(up), count(flip)
+    key = np.sort(own * 128 + raw)
+    heads = np.flatnonzero(np.diff(key, prepend=-1))
+    of = key[heads] >> 7
+    p = np.diff(heads, append=len(key)) / n[of]
+    bits = np.bincount(of, -p * np.log2(p), len(words))
+    marks = [(low_ <= n) & (n <= high) for low_, high in ((1, 2), (3, 4), (5, 7), (8, 11), (12, 15), (16, 19), (20, 31), (32, 39), (40, 40), (41, 1 << 30))]
+    marks += [digits == 0, (digits > 0) & (digits <= 0.2 * n), (digits > 0.2 * n) & (digits <= 0.5 * n), (digits > 0.5 * n) & (digits < n), digits == n]
+    marks += [upper == 0, (lower == 0) & (upper > 0), (lower > 0) & (upper > 0) & (digits > 0), flips >= 2, (upper == 1) & up[first] & (digits == 0)]
+    marks += [bits < 2.5, (bits >= 2.5) & (bits < 3.2), (bits >= 3.2) & (bits < 3.8), bits >= 3.8]
+    marks += [count(digit | ((raw | 32) >= 97) & ((raw | 32) <= 102)) == n, [x.startswith(_PREFIXES) for x in words], [x.lower() in _SECRET_WORDS for x in words], [x.lower() in _PLAIN_WORDS for x in words]]
+    out[many, : len(marks)] = np.column_stack(marks)
+    return out
+
+
 def file_features(text: str) -> list[float]:
     """Whether a text looks like code, configuration, a log or prose, by its lines (a share of at least a quarter)."""
     lines = [x for x in text.split("\n") if x.strip()]
@@ -342,21 +373,187 @@ def _points(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(at[a]), int(at[b])) for a, b in runs]
 
 
-def find_secrets(texts: pa.Array, w: np.ndarray, t: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
+class Decoder:
+    """Viterbi over all tokens of whole texts, many texts at once; equal to ``tagged_spans`` without hot ranges.
+
+    The scores of all tokens are summed up as arrays: those of a token's shape are kept by
+    token, those of its cues in a table of all their combinations. A stretch of begin and
+    inside gains at most the sum of its tokens' best scores over outside, transitions
+    included. Only tokens that some stretch with a sum of 0 or more holds can be other than
+    outside on the best path, so the recursion runs on these alone, between tokens that are
+    outside for sure.
+    """
+
+    #: Tokens whose shapes are kept, and their characters in all.
+    TOKENS, CHARS = 1 << 17, 1 << 22
+
+    def __init__(self, w: np.ndarray, t: np.ndarray) -> None:
+        over = w[:, 1:] - w[:, :1]  # begin and inside over outside
+        at = 1 + 3 * SHAPE + CUES
+        self.t, self.bias, self.own, self.before, self.after = t, over[0], over[1 : 1 + SHAPE], over[1 + SHAPE : 1 + 2 * SHAPE], over[1 + 2 * SHAPE : 1 + 3 * SHAPE]
+        self.files = over[at:].reshape(FILES, 5, 2)
+        self.table = np.zeros((1, 2))
+        for x in over[at - CUES : at]:
+            self.table = np.concatenate([self.table, self.table + x])
+        self.enter, self.stay, self.leave = max(t[:, 1]) - t[0, 0], max(t[1:, 2]) - t[0, 0], max(t[1:, 0]) - t[0, 0]
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.chars = 0
+        self.marks = np.zeros((0, 9))
+        self.scores = np.zeros((0, 6))
+
+    def _known(self, tokens: list[str]) -> np.ndarray:
+        """The row of each token in ``marks`` and ``scores``."""
+        if len(self.ids) > self.TOKENS or self.chars > self.CHARS:
+            self.clear()
+        old, ids = len(self.ids), self.ids
+        for x in set(tokens).difference(ids):
+            ids[x] = len(ids)
+            self.chars += len(x)
+        if len(ids) > old:
+            new = list(ids)[old:]
+            shapes = _shapes(new)
+            word = [x.isalnum() and x.isascii() for x in new]
+            marks = [shapes[:, HEX], shapes[:, LETTERS], shapes[:, 11:14].sum(1), shapes[:, ALL_DIGITS], word, shapes[:, SECRET_WORD], shapes[:, PLAIN_WORD], [x in "\"'`" for x in new], [x in "=:" for x in new]]
+            self.marks = np.concatenate([self.marks, np.column_stack(marks)])
+            self.scores = np.concatenate([self.scores, np.hstack([shapes @ self.own + self.bias, shapes @ self.before, shapes @ self.after])])
+        return np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
+
+    def gains(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, text, scores (2, n) over outside) of all tokens; places count within their text."""
+        whole = "\n".join(texts) + "\n"  # no token, line or URL reaches over a text's end
+        first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = np.minimum(points, len(_CLASS) - 1)
+        kind = _CLASS[low]
+        inside = kind == 2
+        start = np.flatnonzero((kind == 1) | inside & ~np.concatenate([[False], inside[:-1]]))
+        end = np.flatnonzero((kind == 1) | inside & ~np.concatenate([inside[1:], [False]])) + 1
+        tokens = _TOKEN.findall(whole)
+        n = len(tokens)
+        assert n == len(start)
+        known = self._known(tokens)
+        del tokens
+        marks, scores = self.marks, self.scores
+        flag = lambda k: marks[:, k][known] > 0
+        letters, digits, word, secret, quote, equal = flag(1), flag(3), flag(4), flag(5), flag(7), flag(8)
+        plain = flag(6) & ~secret
+        text = np.searchsorted(first, start, "right") - 1
+        line = np.searchsorted(np.flatnonzero(points == 10), start)
+        up = lambda x, k=1: np.concatenate([np.zeros(min(k, n), x.dtype), x[: max(n - k, 0)]])  # noqa: E731  of the token k before
+        same = lambda k: np.concatenate([np.zeros(min(k, n), bool), text[k:] == text[: max(n - k, 0)]])
+        fresh = np.concatenate([np.ones(min(n, 1), bool), line[1:] != line[:-1]])
+        close = np.concatenate([np.zeros(min(n, 1), bool), start[1:] == end[:-1]])
+        words = np.cumsum(word)
+
+        def far(cue: np.ndarray) -> np.ndarray:
+            """Words since the last cue before on the line."""
+            last = np.concatenate([[-1], np.maximum.accumulate(np.where(cue, np.arange(n), -1))[:-1]])[:n]
+            return np.where((last >= 0) & (line[last] == line), words - words[last], 1 << 20)
+
+        away, off = far(secret), far(plain)
+        assigned = ~fresh & (up(equal) | up(quote) & (same(2) & up(equal, 2) | up(quote, 2) & same(3) & up(equal, 3)))
+        follows = points[np.minimum(end, len(points) - 1)]
+        quoted, nears = close & up(quote), word & (away <= 3)
+        cues = [
+            word & (away == 1), word & (away == 2), word & (away >= 3) & (away <= 4), word & (away >= 5) & (away <= 7), word & (off <= 2), word & (off >= 3) & (off <= 5),
+            assigned, assigned & (away <= 2), close, fresh, quoted, np.isin(follows, [34, 39, 96]),
+            self._in_urls(whole, points, start, end), nears & letters, nears & digits, word & (away <= 4) & ~letters & ~digits,
+            np.isin(follows, [61, 58, 40]), nears & assigned & (end - start >= 8),
+        ]
+        bits = np.zeros(n, np.int64)
+        for k, x in enumerate(cues):
+            bits |= x.astype(np.int64) << k
+        out = self.table[bits]
+        out += scores[known, :2]
+        one = np.flatnonzero(same(1))
+        out[one] += scores[known[one - 1], 2:4]
+        out[one - 1] += scores[known[one], 4:]
+        files = np.array([file_features(x) for x in texts]).reshape(len(texts), FILES)
+        for k, x in enumerate([None, marks[:, 0][known], marks[:, 1][known], marks[:, 2][known], quoted]):
+            of = (files @ self.files[:, k])[text]
+            out += of if x is None else of * x[:, None]
+        return start - first[text], end - first[text], text, out
+
+    @staticmethod
+    def _in_urls(whole: str, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(start), bool)
+        colon = np.flatnonzero((points[:-2] == 58) & (points[1:-1] == 47) & (points[2:] == 47))
+        ats = np.flatnonzero(points == 64)
+        if len(colon) and len(ats):
+            near = np.searchsorted(colon, start - 3, "right") > np.searchsorted(colon, start - 80)
+            near &= np.searchsorted(ats, end + 80) > np.searchsorted(ats, end)
+            for k in np.flatnonzero(near).tolist():
+                out[k] = _in_url(whole, int(start[k]), int(end[k]))
+        return out
+
+    def __call__(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """For each text the spans (start, end, 3) of secrets."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        start, end, text, gain = self.gains(texts)
+        n = len(start)
+        if not n:
+            return out
+        heads = np.concatenate([[True], text[1:] != text[:-1]])
+        most = np.maximum(gain[:, 0] + self.enter, gain[:, 1] + self.stay)
+        most[heads] = gain[heads].max(1)  # nothing comes before a text's first token
+        most[np.concatenate([heads[1:], [True]])] += max(0.0, -self.leave)  # nor after its last
+        total = np.concatenate([[0.0], np.cumsum(most)])
+        best = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+        open_ = best + self.leave >= -1e-6 * (1 + np.abs(total).max() * 1e-6)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
+        for low, high in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            cuts = [low, *(low + 1 + np.flatnonzero(heads[low + 1 : high])).tolist(), high]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                path = self._path(gain[a:b].tolist(), bool(heads[a]), b == n or bool(heads[b]))
+                k = 0
+                while k < len(path):
+                    m = k + 1
+                    if path[k] == 1:
+                        while m < len(path) and path[m] == 2:
+                            m += 1
+                        out[text[a]].append((int(start[a + k]), int(end[a + m - 1]), 3))
+                    k = m
+        return out
+
+    def _path(self, gain: list[list[float]], head: bool, tail: bool) -> list[int]:
+        """The best path of consecutive tokens that stand between tokens outside, or at an end of their text."""
+        (t00, t01, t02), (t10, t11, t12), (t20, t21, t22) = self.t.tolist()
+        back = []
+        x, y, z = (0.0, *gain[0]) if head else (t00, gain[0][0] + t01, gain[0][1] + t02)
+        for b, i in gain[1:]:
+            o0, o1, o2 = x + t00, y + t10, z + t20
+            b0, b1, b2 = x + t01, y + t11, z + t21
+            i0, i1, i2 = x + t02, y + t12, z + t22
+            so = 0 if o0 >= o1 and o0 >= o2 else 1 if o1 >= o2 else 2
+            sb = 0 if b0 >= b1 and b0 >= b2 else 1 if b1 >= b2 else 2
+            si = 0 if i0 >= i1 and i0 >= i2 else 1 if i1 >= i2 else 2
+            back.append((so, sb, si))
+            x, y, z = (o0, o1, o2)[so], (b0, b1, b2)[sb] + b, (i0, i1, i2)[si] + i
+        if not tail:
+            x, y, z = x + t00, y + t10, z + t20
+        path = [0 if x >= y and x >= z else 1 if y >= z else 2]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        return path[::-1]
+
+
+#: Of code points (the last one stands for all above): 0 white space, 1 a token by itself, 2 an ASCII letter or digit.
+_CLASS = np.array([0 if re.match(r"\s", chr(c)) else 2 if chr(c).isascii() and chr(c).isalnum() else 1 for c in range(0x3002)], np.uint8)
+
+
+def find_secrets(texts: pa.Array, w: np.ndarray, t: np.ndarray, decode: Decoder | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """For each text all spans (start, end, kind): the fixed ones, then what the field adds outside of them."""
+    decode = decode or Decoder(w, t)
     raw, at = K.utf8(texts)
     for i, j in K.slices(at):
         part, own = raw[at[i] : at[j]], at[i : j + 1] - at[i]
-        runs = candidates(part, own)
-        for k in range(j - i):
-            data = part[own[k] : own[k + 1]].tobytes()
-            text = data.decode()
-            spans = base_spans(text)
-            hot = sorted({*(_points(data, runs[k]) if k in runs else ()), *(cued(text) if _CUE.search(text) else ())})
-            if hot:
-                fixed = list(spans)
-                spans += [s for s in tagged_spans(text, hot, w, t) if all(s[1] <= b[0] or b[1] <= s[0] for b in fixed)]
-            yield sorted(spans, key=lambda s: (s[0], s[2]))
+        whole = [part[own[k] : own[k + 1]].tobytes().decode() for k in range(j - i)]
+        for text, tagged in zip(whole, decode(whole), strict=True):
+            fixed = base_spans(text)
+            yield sorted([*fixed, *(s for s in tagged if all(s[1] <= b[0] or b[1] <= s[0] for b in fixed))], key=lambda s: (s[0], s[2]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,8 +566,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = Decoder(w, t)
         for batch in batches:
-            rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in spans] for spans in find_secrets(batch.column(1), w, t)]
+            rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in spans] for spans in find_secrets(batch.column(1), w, t, decode)]
             yield pa.record_batch([batch.column(0), pa.array(rows, kind)], names=["doc_id", "found"])
 
     return K.arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, found array<struct<kind:string,start:long,end:long>>")

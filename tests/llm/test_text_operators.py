@@ -554,6 +554,29 @@ def test_file_features_count():
     assert secret_scan.file_features("2024-01-01 10:00:00 INFO x\n")[2] == 1 and secret_scan.file_features("some words\nand more\n")[3] == 1
 
 
+def by_all_tokens(text, w, t):
+    """Spans by plain Viterbi over all tokens of one text, with the fixed patterns."""
+    fixed = secret_scan.base_spans(text)
+    return sorted([*fixed, *(s for s in secret_scan.tagged_spans(text, None, w, t) if all(s[1] <= b[0] or b[1] <= s[0] for b in fixed))], key=lambda s: (s[0], s[2]))
+
+
+def test_secrets_are_decoded_at_all_tokens():
+    """Short groups, secrets far behind their cue, odd characters, and many texts at once: nothing rests on windows."""
+    w, t = secret_scan.model()
+    r = random.Random(11)
+    bits = ["password", "token", "Bearer", "login", "sha256", "uuid", "a1", "Xk9", "Q", "zz", "hunter2", "\"", "'", "=", ":", "-", "_", ".", "/", "@", "://", "https://app:", "é", "\u0661", "漢", "😀", "\u2028", "\x1c", "\r", "x" * 60, "9" * 12, "ghp_", "K7f", "deadBeefQx"]
+    texts = ["".join(r.choice(bits) + r.choice(["", "", " ", " ", "\n"]) for _ in range(r.choice([0, 1, 2, 12, 60, 400]))) for _ in range(400)]
+    texts += [f"password {'x' * 70} {'y' * 70} {x}" for x in ("hunter22", "Ab3dEf9hKm2", "q8-kf9-3jf")] + ["", "\n", " "] + [x for x, _ in SECRETS] + CLEAN
+    found = list(secret_scan.find_secrets(pa.array([*texts, None]), w, t))
+    assert found[-1] == [] and sum(k == 3 for spans in found for *_, k in spans) > 100
+    assert found == [*(by_all_tokens(x, w, t) for x in texts), []]
+
+
+def test_secret_shapes_as_arrays():
+    tokens = sorted({m for text, _ in secret_scan.generated(seed=3, files=40) for m in secret_scan._TOKEN.findall(text)} | {*"é١Å²-_./+=:@'\"漢", "AKIA", "ghpX", "aBcD12", "Password", "uuid", "ABCDEF99", "0" * 40, "ab" * 30})
+    assert (secret_scan._shapes(tokens) == np.array([secret_scan._shape(x) for x in tokens])).all()
+
+
 def test_secret_odd(spark):
     out = secret_scan.digest(secret_scan.scan(odd(spark))).collect()
     assert len(out) == 14
